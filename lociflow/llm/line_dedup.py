@@ -18,9 +18,6 @@ empty table gives no rows. Other columns are not looked at.
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -113,41 +110,61 @@ def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int)
     return written(runs.compacted().filter(F.col("n_docs") >= min_docs).select(*KEY, "last_doc"), "repeated")
 
 
-def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, text, lines bytes of positions to drop) with the other columns of docs left out."""
+def gone_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+    """(_doc, _t, gone): the line numbers that go, by doc_id and hash of the text."""
     docs = narrow(docs).select(F.coalesce("doc_id", F.lit(NO_DOC)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     repeated = repeated_lines(docs, min_chars, min_docs, batches)
     at = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.transform(F.split("text", "\n", -1), line_key)).alias("line", "key"))
     at = at.filter(F.char_length("key") >= min_chars).select("doc_id", "t", "line", *hashes(F.col("key")))
     gone = at.join(repeated, KEY).filter(F.col("doc_id") < F.col("last_doc"))
-    gone = gone.groupBy("doc_id", "t").agg(F.collect_set("line").alias("gone"))
-    marked = docs.withColumn("t", F.xxhash64("text")).join(gone, ["doc_id", "t"], "left")
-    return marked.select("doc_id", "text", "gone")
+    return gone.groupBy(F.col("doc_id").alias("_doc"), F.col("t").alias("_t")).agg(F.collect_set("line").alias("gone"))
+
+
+def marked(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs with the column gone."""
+    key = [F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_DOC)), F.xxhash64(F.coalesce(docs["text"], F.lit("")))]
+    return docs.join(gone, (key[0] == gone["_doc"]) & (key[1] == gone["_t"]), "left").drop("_doc", "_t")
 
 
-def kept_lines(marked: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, kept) from drop_lines()."""
+def without_lines(text: str, gone: list[int] | None) -> str:
+    if not gone:
+        return text
+    drop = set(gone)
+    return "\n".join([x for i, x in enumerate(text.split("\n")) if i not in drop])
+
+
+def kept_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, kept) of every document."""
+    docs = narrow(docs)
 
     def cut(batches):
         for batch in slices(batches, "text", 8 << 20):
             n, dropped, kept = [], [], []
-            for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-                lines = text.split("\n")
-                n.append(len(lines))
-                if gone:
-                    gone = set(gone)
-                    text = "\n".join([x for i, x in enumerate(lines) if i not in gone])
+            for text, gone in zip(pc.fill_null(batch.column("text"), "").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+                n.append(text.count("\n") + 1)
                 dropped.append(len(gone or ()))
-                kept.append(text)
-            doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, mask=doc == NO_DOC), "n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "kept": pa.array(kept, pa.string())})
+                kept.append(without_lines(text, gone))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "kept": pa.array(kept, pa.string())})
+
+    return marked(docs, gone_lines(docs)).mapInArrow(cut, "doc_id long, n_lines long, n_dropped long, kept string")
+
+
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
+    """docs with their texts cut; all columns stay."""
+    schema = docs.schema
+
+    def cut(batches):
+        for batch in slices(batches, "text", 8 << 20):
+            at = batch.schema.get_field_index("text")
+            texts = [t if t is None else without_lines(t, g) for t, g in zip(batch.column(at).to_pylist(), batch.column("gone").to_pylist(), strict=True)]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).select(schema.names)
 
-    return marked.mapInArrow(cut, "doc_id long, n_lines long, n_dropped long, kept string")
+    return marked(docs, gone_lines(docs)).mapInArrow(cut, schema)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and dropped lines of every document, and the digest of what is kept."""
-    kept = kept_lines(drop_lines(table(spark, sf_dir, "documents")))
+    kept = kept_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -95,17 +95,17 @@ class BlockCode:
         return np.concatenate(rows), np.concatenate(out), np.concatenate(is_home)
 
 
-def blocks_of(most_bits: int) -> list[tuple[int, BlockCode]]:
-    """(shift, code) of blocks such that any two words within most_bits agree up to one bit in one of them."""
-    n = most_bits // 2 + 1
+def blocks_of(most_bits: int, in_block: int = 1) -> list[tuple[int, BlockCode]]:
+    """(shift, code) of blocks such that any two words within most_bits agree up to in_block bits in one of them."""
+    n = most_bits // (in_block + 1) + 1
     edges = [64 * i // n for i in range(n + 1)]
     return [(a, BlockCode(b - a)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def replicate(fp: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def replicate(fp: np.ndarray, most_bits: int, in_block: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, block, anchor, is home) of all replicas of unsigned fingerprints."""
     out = []
-    for k, (shift, code) in enumerate(blocks_of(most_bits)):
+    for k, (shift, code) in enumerate(blocks_of(most_bits, in_block)):
         mask = np.uint64((1 << code.width) - 1)
         rows, anchors, home = code.anchors((fp >> np.uint64(shift)) & mask)
         out.append((rows, np.full(len(rows), k, np.int8), anchors, home))
@@ -132,15 +132,35 @@ def anchor_links(fp: np.ndarray, node: np.ndarray, home: np.ndarray, ends: np.nd
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def links(classes: DataFrame, most_bits: int) -> DataFrame:
-    """(a, b): links between classes (fp, node) that differ in at most most_bits bits, enough of them to connect all that are linked."""
+def anchor_pairs(fp: np.ndarray, node: np.ndarray, home: np.ndarray, ends: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within most_bits at each anchor."""
+    a, b = [], []
+    start = 0
+    for end in ends.tolist():
+        f, n = fp[start:end], node[start:end]
+        start = end
+        for at in range(0, len(f) - 1, 256):
+            i, j = np.nonzero(np.bitwise_count(f[at : at + 256, None] ^ f[None, at:]) <= most_bits)
+            a.append(n[at + i[i < j]])
+            b.append(n[at + j[i < j]])
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def links(classes: DataFrame, most_bits: int, wide: bool = False) -> DataFrame:
+    """(a, b): links between classes (fp, node) that differ in at most most_bits bits.
+
+    Narrow: one side looks at its home anchor; enough links come to connect all that are linked. Wide, for thresholds
+    that would take too many blocks: blocks may differ in two bits; some word lies within one bit of
+    both sides, whose home both are replicated to, and all pairs come, so that they can be verified.
+    """
+    in_block, at_anchor = (2, anchor_pairs) if wide else (1, anchor_links)
 
     def emit(batches):
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False)
             node = batch.column("node").to_numpy(zero_copy_only=False)
             for at in range(0, len(fp), 4096):
-                rows, block, anchor, home = replicate(fp[at : at + 4096].view(np.uint64), most_bits)
+                rows, block, anchor, home = replicate(fp[at : at + 4096].view(np.uint64), most_bits, in_block)
                 yield pa.RecordBatch.from_pydict({"block": pa.array(block), "anchor": pa.array(anchor.view(np.int64)), "home": pa.array(home), "fp": pa.array(fp[at : at + 4096][rows]), "node": pa.array(node[at : at + 4096][rows])})
 
     def compare(batches):
@@ -159,14 +179,14 @@ def links(classes: DataFrame, most_bits: int) -> DataFrame:
             if not len(ends):
                 continue
             k = ends[-1]
-            a, b = anchor_links(held[3][:k].view(np.uint64), held[4][:k], held[2][:k], ends, most_bits)
+            a, b = at_anchor(held[3][:k].view(np.uint64), held[4][:k], held[2][:k], ends, most_bits)
             held = [x[k:] for x in held]
             if len(a):
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     replicas = classes.mapInArrow(emit, "block byte, anchor long, home boolean, fp long, node long")
     met = replicas.repartition(parts(classes.sparkSession), "block", "anchor").sortWithinPartitions("block", "anchor")
-    return met.mapInArrow(compare, "a long, b long").filter("a <> b").distinct()
+    return met.mapInArrow(compare, "a long, b long").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _with_end(batches):
@@ -185,6 +205,59 @@ def components(docs: DataFrame, words: int = WORDS, most_bits: int = MOST_BITS)
     return out.select("doc_id", "fp", F.when(F.col("component") != NO_DOC, F.col("component")).alias("component"))
 
 
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, s): the distinct shingle hashes of every text, ascending, as bytes."""
+
+    def compute(batches):
+        for batch in slices(batches, "text", 8 << 20):
+            s = [np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "s": pa.array(s, pa.binary())})
+
+    return narrow(docs).mapInArrow(compute, "doc_id long, s binary")
+
+
+def alike(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of (a, b, sa, sb) whose shingle sets have at least that Jaccard similarity."""
+
+    def verify(batches):
+        for batch in batches:
+            good = []
+            for sa, sb in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
+                x, y = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both) and both > 0)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.mapInArrow(verify, "a long, b long")
+
+
+def near_groups(docs: DataFrame, most_bits: int = 11, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, group) of every document: near copies of at least that similarity share the smallest doc_id.
+
+    Fingerprints within MOST_BITS are one group. The groups' first documents are then compared at the
+    wide threshold, and pairs are kept whose shingle sets are alike.
+    """
+    tight = written(components(docs), "tight")
+    known = F.coalesce("doc_id", F.lit(NO_DOC))
+    named = tight.select(known.alias("doc_id"), "fp", F.coalesce("component", F.lit(NO_DOC)).alias("component"))
+    first = named.filter("doc_id = component").groupBy(F.col("component").alias("node")).agg(F.min("fp").alias("fp"))
+    pairs = written(links(first, most_bits, wide=True), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    base = narrow(docs).select(known.alias("doc_id"), "text")
+    sets = written(shingle_sets(base.join(wanted, "doc_id", "left_semi"), words), "shingles").groupBy("doc_id").agg(F.min("s").alias("s"))
+    put = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    found = connected_components(alike(put.select("a", "b", "sa", "sb"), similarity))
+    out = named.join(found.withColumnRenamed("component", "wider"), F.col("component") == F.col("node"), "left")
+    return out.select("doc_id", F.coalesce("wider", "component").alias("group"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are the first of their group of near copies."""
+    groups = near_groups(docs)
+    keep = groups.filter("doc_id = group").select(F.col("doc_id").alias("_keep")).distinct()
+    return docs.join(keep, F.coalesce(F.col("doc_id"), F.lit(NO_DOC)) == F.col("_keep"), "left_semi")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = components(table(spark, sf_dir, "documents"))

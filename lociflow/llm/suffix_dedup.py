@@ -401,13 +401,13 @@ def kept_bytes(docs: DataFrame, with_text: bool) -> DataFrame:
 
     blobs = compressed_all(docs)
     marked = blobs.join(gone, F.col("doc_id") == F.col("id"), "left").drop("id")
-    marked = marked.join(copies, (F.col("doc_id") == F.col("copy_id")) & (F.col("t1") == F.col("copy_t1")) & (F.col("t2") == F.col("copy_t2")), "left").drop("copy_t1", "copy_t2", "t1", "t2")
+    marked = marked.join(copies, (F.col("doc_id") == F.col("copy_id")) & (F.col("t1") == F.col("copy_t1")) & (F.col("t2") == F.col("copy_t2")), "left").drop("copy_t1", "copy_t2", "t2")
 
     def cut(batches):
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-            for doc, cls, blob, starts, ends, kinds, copy in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "cls", "blob", "starts", "ends", "kinds", "copy_id")), strict=True):
+            out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text_hash")}
+            for doc, t1, cls, blob, starts, ends, kinds, copy in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "t1", "cls", "blob", "starts", "ends", "kinds", "copy_id")), strict=True):
                 data = expand.decompress(blob)
                 if copy is not None:
                     s, e = np.array([0]), np.array([len(data)])
@@ -425,13 +425,14 @@ def kept_bytes(docs: DataFrame, with_text: bool) -> DataFrame:
                 out["n_spans"].append(len(s))
                 out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
                 if with_text:
+                    out["text_hash"].append(t1)
                     out["kept"].append("".join(p.decode(errors="ignore") for p in pieces))
             if not with_text:
-                del out["kept"]
-            kinds_ = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64()}
+                del out["kept"], out["text_hash"]
+            kinds_ = {"doc_id": pa.int64(), "text_hash": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64()}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds_.get(k, pa.string())) for k, v in out.items()})
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, text_hash long" * with_text
     return marked.mapInArrow(cut, schema)
 
 
@@ -450,6 +451,15 @@ def compressed_all(docs: DataFrame) -> DataFrame:
     return keyed.mapInArrow(squeeze, "doc_id long, t1 long, t2 long, cls long, blob binary")
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with repeated bytes cut out of their texts; all columns stay. A null text stays null."""
+    kept = written(kept_bytes(docs, with_text=True), "kept").filter("n_removed > 0")
+    kept = kept.groupBy(F.coalesce("doc_id", F.lit(NO_DOC)).alias("_doc"), F.col("text_hash").alias("_t")).agg(F.min("kept").alias("_kept"))
+    key = [F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_DOC)), F.xxhash64(docs["text"])]
+    joined = docs.join(kept, (key[0] == kept["_doc"]) & (key[1] == kept["_t"]), "left")
+    return joined.select(*[F.coalesce("_kept", docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document keeps when strings of 50 bytes from earlier documents go."""
     return kept_bytes(table(spark, sf_dir, "documents"), with_text=False)

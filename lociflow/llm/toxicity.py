@@ -30,7 +30,7 @@ from .common import narrow, slices, table, texts
 
 WINDOW, STRIDE, HIDDEN = 32, 16, 8
 WORD_ROWS, GRAM_ROWS, ODDS_ROWS, WORD_DIM, GRAM_DIM = 1 << 12, 1 << 12, 1 << 17, 4, 6
-MOST_TOXIC, MOST_CLEAN, EPOCHS, BATCH, RATE, THRESHOLD = 1200, 2400, 4, 256, 0.01, 0.3
+MOST_TOXIC, MOST_CLEAN, EPOCHS, LEAST_STEPS, BATCH, RATE, THRESHOLD = 1200, 2400, 4, 120, 256, 0.01, 0.3
 GRAMS = (3, 5)
 INPUTS = WORD_DIM + GRAM_DIM + 3
 
@@ -229,7 +229,8 @@ def train(column: pa.Array, toxic: np.ndarray, seed: int = 0) -> Model | None:
     edges = np.flatnonzero(np.diff(text, prepend=-1))
     sizes = np.diff(np.append(edges, len(text)))
     step = 0
-    for epoch in range(EPOCHS):
+    each = len(edges) + int((~toxic).sum())
+    for epoch in range(max(EPOCHS, -(-LEAST_STEPS // -(-each // BATCH)))):  # a small sample is seen more often
         x = model.inputs(words)
         if epoch:
             logit = np.concatenate([model.run(x, windows[a : a + 8192]) for a in range(0, len(windows), 8192)])
@@ -299,21 +300,30 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with the columns _held_out, _score; all columns of docs are kept."""
+    """(doc_id, held_out, score) of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
-        for batch in slices(batches, "_text", 3 << 20):
-            s = scores(sent.value, batch.column("_text"))
-            rest = {n: batch.column(n) for n in batch.schema.names if n != "_text"}
-            yield pa.RecordBatch.from_pydict(rest | {"_held_out": pa.array([held_out(i) for i in batch.column("_id").to_pylist()]), "_score": pa.array(s)})
+        for batch in slices(batches, "text", 3 << 20):
+            ids = batch.column("doc_id")
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "held_out": pa.array([held_out(i) for i in ids.to_pylist()]), "score": pa.array(scores(sent.value, batch.column("text")))})
 
-    schema = "_id long, text string, _held_out boolean, _score double"
-    return narrow(docs).select(F.col("doc_id").alias("_id"), "text", F.col("text").alias("_text")).mapInArrow(score, schema)
+    return narrow(docs).mapInArrow(score, "doc_id long, held_out boolean, score double")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that score below the threshold; all columns stay."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def keep(batches):
+        for batch in slices(batches, "text", 3 << 20):
+            yield batch.filter(pa.array(scores(sent.value, batch.column("text")) < THRESHOLD))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and prediction of every document."""
     docs = table(spark, sf_dir, "documents")
     out = scored(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return out.select(F.col("_id").alias("doc_id"), F.col("_held_out").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
