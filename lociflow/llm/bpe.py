@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import narrow, slices, table
+from .common import lean, narrow, slices, table
 from .tokens import SLICE, ChunkEncoder, default_tokenizer, encoder
 
 NO_RANK = np.int64(1 << 40)
@@ -138,6 +138,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                 text_sha.append(hashlib.sha256(enc.decode(part)).hexdigest())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": ids_sha, "decoded_sha256": text_sha})
 
-    return narrow(table(spark, sf_dir, "documents")).mapInArrow(both, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return narrow(table(spark, sf_dir, "documents")).mapInArrow(lean(both), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 from ..sources.storage import shared_dir, table, written  # noqa: F401
 
 
+#: Most bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 8 << 20
+
+
 def parts(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -77,6 +82,31 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(total, dtype=np.int64)
 
 
+def release() -> None:
+    """Give memory that is free in this process back to the system: idle workers keep none of it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(f):
+    """f, a function on an iterator of batches, followed by release()."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
 def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The two columns that an operator reads, under names of its own; other columns never clash."""
+    """The two columns that an operator reads, under names of its own; other columns never clash.
+
+    Arrow batches of texts are held to BATCH_BYTES, as texts can be long.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

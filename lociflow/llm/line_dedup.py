@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrow, slices, table, written
+from .common import lean, narrow, slices, table, written
 
 MIN_CHARS, MIN_DOCS, BATCHES, FAN_OUT = 40, 5, 4, 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -146,7 +146,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
                 kept.append(without_lines(text, gone))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "kept": pa.array(kept, pa.string())})
 
-    return marked(docs, gone_lines(docs)).mapInArrow(cut, "doc_id long, n_lines long, n_dropped long, kept string")
+    return marked(docs, gone_lines(docs)).mapInArrow(lean(cut), "doc_id long, n_lines long, n_dropped long, kept string")
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
             texts = [t if t is None else without_lines(t, g) for t, g in zip(batch.column(at).to_pylist(), batch.column("gone").to_pylist(), strict=True)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).select(schema.names)
 
-    return marked(docs, gone_lines(docs)).mapInArrow(cut, schema)
+    return marked(docs, gone_lines(docs)).mapInArrow(lean(cut), schema)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

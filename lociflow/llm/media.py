@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, narrow, parts, shared_dir, slices, stored_bytes, table, written
+from .common import filesystem, lean, narrow, parts, shared_dir, slices, stored_bytes, table, written
 
 COLUMNS, PAD, LEVEL = 576, 255, 3
 HEADER = 33
@@ -107,7 +107,7 @@ def write_shards(docs: DataFrame, into: str | None = None) -> DataFrame:
             out.write(bytes(1024))
             out.close()
 
-    return written(narrow(docs).mapInArrow(write, "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"), "places")
+    return written(narrow(docs).mapInArrow(lean(write), "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"), "places")
 
 
 def placed(rows: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def media_columns(places: DataFrame) -> DataFrame:
 
     spark = places.sparkSession
     # Dealt by digest: a shard's payloads are read by many tasks, each range on its own.
-    return places.repartition(parts(spark), "digest").sortWithinPartitions("shard", "offset").mapInArrow(look, MEDIA)
+    return places.repartition(parts(spark), "digest").sortWithinPartitions("shard", "offset").mapInArrow(lean(look), MEDIA)
 
 
 MEDIA = "digest binary, width long, height long, depth long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import parts, table, written
+from .common import lean, parts, table, written
 
 CURVES, DIMS, BITS, WINDOW_SHARE, BLOCK, SALTS = 16, 8, 6, 0.06, 1024, 32
 
@@ -130,8 +130,8 @@ def nearest(vectors: DataFrame, is_query, k: int) -> DataFrame:
                 seen[number] = seen.get(number, 0) + int(own.sum())
             yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(curve), part, np.int32)), "curve": batch.column("curve"), "local": pa.array(local), "c": batch.column("c")})
 
-    ordered = classes.select("c", "v").mapInArrow(order, "curve int, key long, c long").repartitionByRange(n_parts, "curve", "key", "c").sortWithinPartitions("curve", "key", "c")
-    ranked = written(ordered.mapInArrow(count_off, "part int, curve int, local long, c long"), "ranks")
+    ordered = classes.select("c", "v").mapInArrow(lean(order), "curve int, key long, c long").repartitionByRange(n_parts, "curve", "key", "c").sortWithinPartitions("curve", "key", "c")
+    ranked = written(ordered.mapInArrow(lean(count_off), "part int, curve int, local long, c long"), "ranks")
     # One row for each partition and curve in it: at most partitions + curves.
     sizes = sorted((r["curve"], r["part"], r["n"]) for r in ranked.groupBy("curve", "part").agg((F.max("local") + 1).alias("n")).collect())
     bases, total = [], {}
@@ -165,7 +165,7 @@ def nearest(vectors: DataFrame, is_query, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"q": pa.array(np.repeat(c[q], take)), "c": pa.array(dc[best].ravel()), "score": pa.array(score.ravel())})
 
     met = held.unionByName(asked).repartition(n_parts, "curve", "block").sortWithinPartitions("curve", "block", "kind")
-    found = met.mapInArrow(rerank, "q long, c long, score double").groupBy("q", "c").agg(F.max("score").alias("score"))
+    found = met.mapInArrow(lean(rerank), "q long, c long, score double").groupBy("q", "c").agg(F.max("score").alias("score"))
     by_q = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     found = found.withColumn("r", F.row_number().over(by_q)).filter(F.col("r") <= k + 1).drop("r")
     lists = found.join(members, "c").select("q", "member", "score")

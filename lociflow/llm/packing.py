@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrow, parts, slices, table, written
+from .common import lean, narrow, parts, slices, table, written
 from .token_files import NO_ID, in_order
 from .tokens import SLICE, default_tokenizer, encoder
 
@@ -169,7 +169,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) -
         if rows := list(packer.cut(True)):
             yield batch_of(rows)
 
-    pieces = written(in_order(narrow(docs), parts(spark)).mapInArrow(pack, PIECES), "pieces")
+    pieces = written(in_order(narrow(docs), parts(spark)).mapInArrow(lean(pack), PIECES), "pieces")
     # One row a range: bounded by the number of partitions.
     rows = sorted(pieces.groupBy("range").agg(F.max("local").alias("most")).collect())
     bases = np.cumsum([0, *[r["most"] + 1 for r in rows]]).tolist()

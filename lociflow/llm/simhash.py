@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import narrow, parts, slices, table, written
+from .common import lean, narrow, parts, slices, table, written
 
 WORDS, MOST_BITS, SEED = 3, 3, 42
 NO_DOC = -(1 << 63)
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             fp = np.array([fingerprint(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(fp.view(np.int64))})
 
-    return narrow(docs).mapInArrow(compute, "doc_id long, fp long")
+    return narrow(docs).mapInArrow(lean(compute), "doc_id long, fp long")
 
 
 class BlockCode:
@@ -184,9 +184,9 @@ def links(classes: DataFrame, most_bits: int, wide: bool = False) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    replicas = classes.mapInArrow(emit, "block byte, anchor long, home boolean, fp long, node long")
+    replicas = classes.mapInArrow(lean(emit), "block byte, anchor long, home boolean, fp long, node long")
     met = replicas.repartition(parts(classes.sparkSession), "block", "anchor").sortWithinPartitions("block", "anchor")
-    return met.mapInArrow(compare, "a long, b long").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.mapInArrow(lean(compare), "a long, b long").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _with_end(batches):
@@ -213,7 +213,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             s = [np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "s": pa.array(s, pa.binary())})
 
-    return narrow(docs).mapInArrow(compute, "doc_id long, s binary")
+    return narrow(docs).mapInArrow(lean(compute), "doc_id long, s binary")
 
 
 def alike(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -228,7 +228,7 @@ def alike(pairs: DataFrame, similarity: float) -> DataFrame:
                 good.append(both >= similarity * (len(x) + len(y) - both) and both > 0)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.mapInArrow(verify, "a long, b long")
+    return pairs.mapInArrow(lean(verify), "a long, b long")
 
 
 def near_groups(docs: DataFrame, most_bits: int = 11, words: int = 5, similarity: float = 0.8) -> DataFrame:

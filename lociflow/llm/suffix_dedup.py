@@ -32,10 +32,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrow, parts, slices, spread, table, texts, written
+from .common import lean, narrow, parts, release, slices, spread, table, texts, written
 from .suffix_kernel import GRAM, LENGTH, REACH, anchors, covered, multikey_sort
 
-HOT, BLOCK, SAMPLE_BAND, SAMPLE_EACH = 20_000, 1_500_000, 256, 64
+HOT, BLOCK, SAMPLE_BAND, SAMPLE_EACH = 20_000, 900_000, 256, 32
+#: Contexts held before a task sends them; contexts whose strings are compared at once.
+CONTEXTS, COMPARED = 150_000, 6_000
+#: Buckets of anchors for each shuffle partition: every anchor of the corpus passes through them.
+FINER = 3
 NO_DOC = -(1 << 63)
 CONTEXT = REACH + LENGTH
 #: The order in which a context's bytes are sorted: the suffix itself, then what stands before it.
@@ -92,12 +96,10 @@ def anchor_messages(docs: DataFrame, n: int) -> DataFrame:
 
     def emit(batches):
         held: list[tuple] = []
-        count = 0
+        count = texts_held = 0
 
         def flush():
-            h, doc, cls, pos, sample_h, sample = (np.concatenate(x) for x in zip(*held, strict=True))
-            ids, index = np.unique(np.rec.fromarrays((doc, cls)), return_inverse=True)
-            index = index.astype(np.uint32)
+            h, index, pos, sample_h, sample, names, classes = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(h)
             h, index, pos = h[order], index[order], pos[order]
             edges = [0, *np.searchsorted(h, limits).tolist(), len(h)]
@@ -111,10 +113,11 @@ def anchor_messages(docs: DataFrame, n: int) -> DataFrame:
                     # 48 bits of the hash tell grams of a bucket apart; a chance meeting only costs a look.
                     key = h[a:b] >> np.uint64(16)
                     sa, sb = s_edges[k], s_edges[k + 1]
-                    rows.append((k, pack(np.diff(key, prepend=key[:1]), key[:1], index[a:b], pos[a:b], np.ascontiguousarray(ids["f0"]), np.ascontiguousarray(ids["f1"]), sample_h[sa:sb] >> np.uint64(16), sample[sa:sb])))
+                    here, own = np.unique(index[a:b], return_inverse=True)  # the texts that this bucket sees
+                    rows.append((k, pack(np.diff(key, prepend=key[:1]), key[:1], own.astype(np.uint32), pos[a:b], names[here], classes[here], sample_h[sa:sb] >> np.uint64(16), sample[sa:sb])))
             return messages(rows)
 
-        for batch in slices(batches, "text", 3 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             data, offsets = texts(batch.column("text"))
             at, h = anchors(data, offsets)
             if not len(at):
@@ -123,15 +126,17 @@ def anchor_messages(docs: DataFrame, n: int) -> DataFrame:
             names = batch.column("doc_id").to_numpy(zero_copy_only=False)
             classes = np.array([text_class(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], dtype=np.uint64)
             band = np.flatnonzero((h >> np.uint64(16)) % np.uint64(SAMPLE_BAND) == 0)
-            held.append((h, names[row], classes[row], (at - offsets[row]).astype(np.uint32), h[band], data[at[band][:, None] + np.arange(GRAM)]))
+            held.append((h, (row + texts_held).astype(np.uint32), (at - offsets[row]).astype(np.uint32), h[band], data[at[band][:, None] + np.arange(GRAM)], names, classes))
             count += len(at)
+            texts_held += len(names)
             if count >= BLOCK:
                 yield flush()
-                held, count = [], 0
+                held, count, texts_held = [], 0, 0
+                release()
         if held:
             yield flush()
 
-    return docs.mapInArrow(emit, MESSAGE)
+    return docs.mapInArrow(lean(emit), MESSAGE)
 
 
 def repeated_places(received: DataFrame, n: int) -> DataFrame:
@@ -145,6 +150,8 @@ def repeated_places(received: DataFrame, n: int) -> DataFrame:
         doc = np.concatenate([g[4][g[2]] for g in got])
         cls = np.concatenate([g[5][g[2]] for g in got])
         pos = np.concatenate([g[3] for g in got])
+        sample_key, sample = np.concatenate([g[6] for g in got]), np.concatenate([g[7] for g in got])
+        del got
         order = np.lexsort((doc, cls, key))
         key, doc, cls, pos = key[order], doc[order], cls[order], pos[order]
         new_key = np.concatenate(([True], key[1:] != key[:-1]))
@@ -158,14 +165,13 @@ def repeated_places(received: DataFrame, n: int) -> DataFrame:
         if len(kept):
             order, runs = dealt(shard(kept, n), n)
             yield messages([(k, pack(kept[order[s]], pos[order[s]], hot[order[s]])) for k, s in runs])
-        sample_key, sample = np.concatenate([g[6] for g in got]), np.concatenate([g[7] for g in got])
         repeated = key[new_key][n_texts > 1]
         sample = np.unique(sample[np.isin(sample_key, repeated)], axis=0)
         if len(sample):
             sample = sample[:: -(-len(sample) // SAMPLE_EACH)]
             yield messages([(-1, sample.tobytes())])
 
-    return received.mapInArrow(find, MESSAGE)
+    return received.mapInArrow(lean(find), MESSAGE)
 
 
 def per_document(received: DataFrame, names: list[str], schema: str) -> DataFrame:
@@ -187,7 +193,7 @@ def per_document(received: DataFrame, names: list[str], schema: str) -> DataFram
             lists = [pa.ListArray.from_arrays(pa.array(e - e[0]), pa.array(c[e[0] : e[-1]])) for c in columns[1:]]
             yield pa.RecordBatch.from_arrays([pa.array(doc[e[:-1]]), *lists], names=names)
 
-    return received.mapInArrow(gather, schema)
+    return received.mapInArrow(lean(gather), schema)
 
 
 def compressed(docs: DataFrame) -> DataFrame:
@@ -201,7 +207,7 @@ def compressed(docs: DataFrame) -> DataFrame:
             cls = np.array([text_class(data[a:b]) & 0xFFFFFFFF for a, b in bounds], dtype=np.int64)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "cls": pa.array(cls), "blob": pa.array([c.compress(data[a:b]) for a, b in bounds], pa.binary())})
 
-    return docs.mapInArrow(squeeze, "doc_id long, cls long, blob binary")
+    return docs.mapInArrow(lean(squeeze), "doc_id long, cls long, blob binary")
 
 
 def contexts(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,13 +299,14 @@ def context_messages(found: DataFrame, splitters: np.ndarray, n: int) -> DataFra
                 pos, rows = np.concatenate(pos), np.concatenate(rows)
                 held.append((rows, np.full(len(pos), doc, np.int64), np.full(len(pos), cls, np.uint32), pos.astype(np.uint32)))
                 size += len(pos)
-                if size >= 400_000:
+                if size >= CONTEXTS:
                     yield flush()
                     held, size = [], 0
+                    release()
         if size:
             yield flush()
 
-    return found.mapInArrow(emit, MESSAGE)
+    return found.mapInArrow(lean(emit), MESSAGE)
 
 
 def group_least(group: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -315,6 +322,7 @@ def removals(received: DataFrame, n: int) -> DataFrame:
         if not got:
             return
         rows, count, doc, cls, pos = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got
         member_of = np.repeat(np.arange(len(rows)), count.astype(np.int64))
         order, group = multikey_sort(rows)
         context = np.empty(len(rows), np.int64)
@@ -338,7 +346,7 @@ def removals(received: DataFrame, n: int) -> DataFrame:
         first_member = np.searchsorted(context, np.arange(len(rows) + 1))
         at = 0
         while at < len(mixed):
-            to = min(len(mixed), at + 20_000)
+            to = min(len(mixed), at + COMPARED)
             while to < len(mixed) and gram[mixed[to]] == gram[mixed[to - 1]]:
                 to += 1
             some = mixed[at:to]
@@ -371,7 +379,7 @@ def removals(received: DataFrame, n: int) -> DataFrame:
         order, runs = dealt(shard(doc_, n), n)
         yield messages([(i, pack(doc_[order[r]], start[order[r]], end[order[r]], cls_[order[r]])) for i, r in runs])
 
-    return received.mapInArrow(compare, MESSAGE)
+    return received.mapInArrow(lean(compare), MESSAGE)
 
 
 def kept_bytes(docs: DataFrame, with_text: bool) -> DataFrame:
@@ -383,7 +391,8 @@ def kept_bytes(docs: DataFrame, with_text: bool) -> DataFrame:
     docs = narrow(docs).select(F.coalesce("doc_id", F.lit(NO_DOC)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     long = docs.filter(F.octet_length("text") >= LENGTH)
 
-    places = written(repeated_places(anchor_messages(long, n).repartitionById(n, "to"), n), "places")
+    m = FINER * n
+    places = written(repeated_places(anchor_messages(long, m).repartitionById(m, "to"), n), "places")
     # The sampled grams: at most SAMPLE_EACH a bucket.
     sample = [np.frombuffer(r["payload"], np.uint8).reshape(-1, GRAM) for r in places.filter("to = -1").collect()]
     sample = np.unique(np.concatenate(sample), axis=0) if sample else np.zeros((0, GRAM), np.uint8)
@@ -433,7 +442,7 @@ def kept_bytes(docs: DataFrame, with_text: bool) -> DataFrame:
             yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds_.get(k, pa.string())) for k, v in out.items()})
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, text_hash long" * with_text
-    return marked.mapInArrow(cut, schema)
+    return marked.mapInArrow(lean(cut), schema)
 
 
 def compressed_all(docs: DataFrame) -> DataFrame:
@@ -448,7 +457,7 @@ def compressed_all(docs: DataFrame) -> DataFrame:
             cls = np.array([text_class(data[a:b]) & 0xFFFFFFFF for a, b in bounds], dtype=np.int64)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "t1": batch.column("t1"), "t2": batch.column("t2"), "cls": pa.array(cls), "blob": pa.array([c.compress(data[a:b]) for a, b in bounds], pa.binary())})
 
-    return keyed.mapInArrow(squeeze, "doc_id long, t1 long, t2 long, cls long, blob binary")
+    return keyed.mapInArrow(lean(squeeze), "doc_id long, t1 long, t2 long, cls long, blob binary")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

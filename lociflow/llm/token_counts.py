@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import narrow, slices, table
+from .common import lean, narrow, slices, table
 
 MARK, RANK_SHIFT, UNKNOWN = "▁", 10.0, -20.0
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -127,7 +127,7 @@ def token_counts(docs: DataFrame, pieces_path: str) -> DataFrame:
             total = lambda v: np.diff(np.concatenate(([0], np.cumsum(v[codes])))[per_text])
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_pretokens": pa.array(total(used)), "n_tokens": pa.array(total(each))})
 
-    return narrow(docs).mapInArrow(count, "doc_id long, n_pretokens long, n_tokens long")
+    return narrow(docs).mapInArrow(lean(count), "doc_id long, n_pretokens long, n_tokens long")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrow, parts, shared_dir, slices, store, stored_bytes, table, written
+from .common import lean, narrow, parts, shared_dir, slices, store, stored_bytes, table, written
 from .tokens import SLICE, default_tokenizer, encoder
 
 NO_ID = -(1 << 63)
@@ -69,7 +69,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None, into: str
         store(f"{path}.len", (x.astype("<i8").tobytes() for x in lengths))
         yield pa.RecordBatch.from_pydict({"part": pa.array([context.partitionId()], pa.int32()), "path": [path], "n_docs": [sum(map(len, lengths))], "n_tokens": [total], "width": pa.array([width], pa.int32())})
 
-    manifest = written(in_order(narrow(docs), parts(spark)).mapInArrow(write, MANIFEST), "manifest")
+    manifest = written(in_order(narrow(docs), parts(spark)).mapInArrow(lean(write), MANIFEST), "manifest")
     # One row a part: bounded by the number of partitions, not by the documents.
     rows = sorted(manifest.collect(), key=lambda r: r["part"])
     bases = np.cumsum([0, *[r["n_tokens"] for r in rows]]).tolist()
@@ -96,7 +96,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
 
     spark = manifest.sparkSession
     spread_out = manifest.repartition(max(1, parts(spark)), F.col("part"))
-    return spread_out.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread_out.mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import narrow, slices, table, texts
+from .common import lean, narrow, slices, table, texts
 
 WINDOW, STRIDE, HIDDEN = 32, 16, 8
 WORD_ROWS, GRAM_ROWS, ODDS_ROWS, WORD_DIM, GRAM_DIM = 1 << 12, 1 << 12, 1 << 17, 4, 6
@@ -308,7 +308,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
             ids = batch.column("doc_id")
             yield pa.RecordBatch.from_pydict({"doc_id": ids, "held_out": pa.array([held_out(i) for i in ids.to_pylist()]), "score": pa.array(scores(sent.value, batch.column("text")))})
 
-    return narrow(docs).mapInArrow(score, "doc_id long, held_out boolean, score double")
+    return narrow(docs).mapInArrow(lean(score), "doc_id long, held_out boolean, score double")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -319,7 +319,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in slices(batches, "text", 3 << 20):
             yield batch.filter(pa.array(scores(sent.value, batch.column("text")) < THRESHOLD))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
