@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from .plans import interval_queries, table_queries
+
+MODULES = (interval_queries, table_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
