@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lean, narrow, parts, release, slices, spread, table, texts, written
-from .suffix_kernel import GRAM, LENGTH, REACH, anchors, covered, multikey_sort
+from .suffix_kernel import GRAM, LENGTH, REACH, anchors, covered, multikey_sort, named_strings
 
 HOT, BLOCK, SAMPLE_BAND, SAMPLE_EACH = 20_000, 900_000, 256, 32
 #: Contexts held before a task sends them; contexts whose strings are compared at once.
@@ -51,7 +51,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed message; bytes of like weight stand together."""
     head = ";".join(f"{a.dtype.str},{','.join(map(str, a.shape))}" for a in arrays).encode()
     planes = [np.ascontiguousarray(a.view(np.uint8).reshape(a.shape[0], -1).T if a.ndim == 1 and len(a) else a).tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(4, "little") + head + b"".join(planes))
+    return zstandard.ZstdCompressor(level=3).compress(len(head).to_bytes(4, "little") + head + b"".join(planes))
 
 
 def unpack(message: bytes) -> list[np.ndarray]:
@@ -114,7 +114,7 @@ def anchor_messages(docs: DataFrame, n: int) -> DataFrame:
                     key = h[a:b] >> np.uint64(16)
                     sa, sb = s_edges[k], s_edges[k + 1]
                     here, own = np.unique(index[a:b], return_inverse=True)  # the texts that this bucket sees
-                    rows.append((k, pack(np.diff(key, prepend=key[:1]), key[:1], own.astype(np.uint32), pos[a:b], names[here], classes[here], sample_h[sa:sb] >> np.uint64(16), sample[sa:sb])))
+                    rows.append((k, pack(np.diff(key, prepend=key[:1]), key[:1], own.astype(np.uint32), pos[a:b], names[here], classes[here] >> np.uint64(24), sample_h[sa:sb] >> np.uint64(16), sample[sa:sb])))
             return messages(rows)
 
         for batch in slices(batches, "text", 2 << 20):
@@ -200,7 +200,7 @@ def compressed(docs: DataFrame) -> DataFrame:
     """(doc_id, cls, blob) of all texts of at least LENGTH bytes."""
 
     def squeeze(batches):
-        c = zstandard.ZstdCompressor(level=1)
+        c = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches, "text", 4 << 20):
             data, offsets = texts(batch.column("text"))
             bounds = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
@@ -214,15 +214,18 @@ def contexts(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions, rows) of the contexts of anchors at the given positions.
 
     A row: the suffix from the anchor on, the bytes before it backwards, and the first and last of the
-    REACH + 1 strings around the gram that the text has; bytes outside the text are zero.
+    strings in whose grams the anchor's has the least hash; bytes outside of those strings are zero.
+    The last byte marks strings of hot grams, which travel on their own.
     """
-    low, high = np.maximum(at - REACH, 0), np.minimum(at, len(text) - LENGTH)
+    low, high = named_strings(text, at)
     ok = low <= high
     at, low, high = at[ok], low[ok], high[ok]
     wide = np.concatenate((np.zeros(REACH, np.uint8), text, np.zeros(LENGTH, np.uint8)))
-    rows = np.empty((len(at), CONTEXT + 2), dtype=np.uint8)
+    rows = np.zeros((len(at), CONTEXT + 3), dtype=np.uint8)
     rows[:, :CONTEXT] = wide[at[:, None] + SORTED]
     rows[:, CONTEXT], rows[:, CONTEXT + 1] = low - at + REACH, high - at + REACH
+    # Bytes of strings that other anchors name stay away.
+    rows[:, :CONTEXT][(SORTED < rows[:, CONTEXT, None]) | (SORTED >= rows[:, CONTEXT + 1, None].astype(np.int64) + LENGTH)] = 0
     return at, rows
 
 
@@ -232,7 +235,7 @@ def strings_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     count = high - low + 1
     which = np.repeat(np.arange(len(rows)), count)
     first = spread(low, count)
-    out = np.zeros((len(which), CONTEXT + 2), dtype=np.uint8)
+    out = np.zeros((len(which), CONTEXT + 3), dtype=np.uint8)
     out[:, CONTEXT] = out[:, CONTEXT + 1] = first
     # The string from REACH - first bytes before the anchor on: zero what it doesn't hold.
     column = SORTED[None, :]
@@ -273,7 +276,7 @@ def context_messages(found: DataFrame, splitters: np.ndarray, n: int) -> DataFra
             count = np.diff(np.append(first, len(rows))).astype(np.uint32)
             rows = rows[first]
             to = bucket_of(rows, splitters)
-            alone = rows[:, CONTEXT] == rows[:, CONTEXT + 1]
+            alone = rows[:, CONTEXT + 2] == 1
             if alone.any():  # strings on their own are dealt by hash
                 to[alone] = [xxhash.xxh3_64_intdigest(r.tobytes()) % n for r in rows[alone]]
             order, runs = dealt(to, n)
@@ -289,11 +292,11 @@ def context_messages(found: DataFrame, splitters: np.ndarray, n: int) -> DataFra
                 text = np.frombuffer(expand.decompress(blob), np.uint8)
                 at, hot = np.array(at, np.int64), np.array(hot, bool)
                 pos, rows = contexts(text, at[~hot])
-                whole = rows[:, CONTEXT] != rows[:, CONTEXT + 1]
-                pos, rows = [pos[whole], pos[~whole]], [rows[whole], rows[~whole]]
+                pos, rows = [pos], [rows]
                 if hot.any():
                     p, r = contexts(text, at[hot])
                     which, strings = strings_of(r)
+                    strings[:, CONTEXT + 2] = 1
                     pos.append(p[which])
                     rows.append(strings)
                 pos, rows = np.concatenate(pos), np.concatenate(rows)
@@ -450,7 +453,7 @@ def compressed_all(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2"))
 
     def squeeze(batches):
-        c = zstandard.ZstdCompressor(level=1)
+        c = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches, "text", 4 << 20):
             data, offsets = texts(batch.column("text"))
             bounds = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))

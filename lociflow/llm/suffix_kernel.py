@@ -61,6 +61,22 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, h[at]
 
 
+def named_strings(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the strings of one text that each anchor names: those where its hash is least."""
+    n = len(text) - LENGTH + 1
+    if n <= 0 or not len(at):
+        return np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
+    order = (gram_hashes(text) >> np.uint64(32)).astype(np.uint32)
+    least = _sliding(order, REACH + 1, np.minimum)
+    at = np.asarray(at, dtype=np.int64)
+    starts = at[:, None] - REACH + np.arange(REACH + 1)
+    inside = (starts >= 0) & (starts < n)
+    own = inside & (least[np.clip(starts, 0, n - 1)] == order[np.minimum(at, len(order) - 1)][:, None]) & (at < len(order))[:, None]
+    # A gram is least in consecutive strings: the first and the last say it all.
+    low, high = at - REACH + own.argmax(axis=1), at - own[:, ::-1].argmax(axis=1)
+    return np.where(own.any(axis=1), low, 1), np.where(own.any(axis=1), high, 0)
+
+
 def multikey_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, group) of rows of bytes: their sorted order and, along it, a number that steps where the row changes.
 
