@@ -69,8 +69,9 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int = 32, flank: int
 def overlap_any(left: DataFrame, right: DataFrame, anti: bool = False, width: int = 32) -> DataFrame:
     """Left rows with (or, anti, without) an overlap: right is merged first, so a hot place is a few rows."""
     merged = merge_islands(right, ["chrom"], 0).drop("n")
-    hit = overlap_join(left.select("chrom", "s", "e", "src"), merged, width).select("src").distinct()
-    return left.join(hit, "src", "left_anti" if anti else "left_semi")
+    key = ["src", "chrom", "s", "e"]
+    hit = overlap_join(left.select(*key), merged, width).select(*key).distinct()
+    return left.join(hit, key, "left_anti" if anti else "left_semi")
 
 
 def nearest_upstream(left: DataFrame, right: DataFrame) -> DataFrame:
