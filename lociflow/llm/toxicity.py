@@ -26,11 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, narrow, slices, table, texts
+from .common import lean, narrow, release, slices, table, texts
 
 WINDOW, STRIDE, HIDDEN = 32, 16, 8
 WORD_ROWS, GRAM_ROWS, ODDS_ROWS, WORD_DIM, GRAM_DIM = 1 << 12, 1 << 12, 1 << 17, 4, 6
-MOST_TOXIC, MOST_CLEAN, EPOCHS, LEAST_STEPS, BATCH, RATE, THRESHOLD = 1200, 2400, 4, 120, 256, 0.01, 0.3
+MOST_TOXIC, MOST_CLEAN, EPOCHS, LEAST_STEPS, BATCH, RATE, THRESHOLD = 1000, 2000, 4, 120, 256, 0.01, 0.3
 GRAMS = (3, 5)
 INPUTS = WORD_DIM + GRAM_DIM + 3
 
@@ -212,6 +212,8 @@ def train(column: pa.Array, toxic: np.ndarray, seed: int = 0) -> Model | None:
         return None
     rng = np.random.default_rng(seed)
     words, windows, text, codes = read(column)
+    windows = windows.astype(np.int32)
+    release()
     model = fresh_model(seed)
     counts = pc.list_value_length(pc.ascii_split_whitespace(pc.fill_null(column, ""))).to_numpy(zero_copy_only=False)
     doc = np.repeat(np.arange(len(column)), counts)
@@ -219,10 +221,10 @@ def train(column: pa.Array, toxic: np.ndarray, seed: int = 0) -> Model | None:
     pair = np.unique(doc * len(words.word) + codes)
     d, c = pair // len(words.word), pair % len(words.word)
     grams, gram_doc = [], []
-    for at in range(0, len(c), 400_000):
-        n = words.counts[c[at : at + 400_000]]
+    for at in range(0, len(c), 50_000):
+        n = words.counts[c[at : at + 50_000]]
         total = np.cumsum(n) - n
-        grams.append(np.unique(np.repeat(d[at : at + 400_000], n) * ODDS_ROWS + words.gram[np.repeat(words.starts[c[at : at + 400_000]] - total, n) + np.arange(n.sum())] % ODDS_ROWS))
+        grams.append(np.unique(np.repeat(d[at : at + 50_000], n) * ODDS_ROWS + words.gram[np.repeat(words.starts[c[at : at + 50_000]] - total, n) + np.arange(n.sum())] % ODDS_ROWS))
         gram_doc.append(grams[-1] // ODDS_ROWS)
     model.gram_odds = log_odds(np.concatenate(grams) % ODDS_ROWS, np.concatenate(gram_doc), toxic)
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in model.p.items()}
@@ -233,9 +235,9 @@ def train(column: pa.Array, toxic: np.ndarray, seed: int = 0) -> Model | None:
     for epoch in range(max(EPOCHS, -(-LEAST_STEPS // -(-each // BATCH)))):  # a small sample is seen more often
         x = model.inputs(words)
         if epoch:
-            logit = np.concatenate([model.run(x, windows[a : a + 8192]) for a in range(0, len(windows), 8192)])
+            logit = np.concatenate([model.run(x, windows[a : a + 2048]) for a in range(0, len(windows), 2048)])
         else:  # before the network knows anything: the window of highest odds
-            logit = np.concatenate([x[windows[a : a + 8192]][:, :, -2].max(axis=1) for a in range(0, len(windows), 8192)])
+            logit = np.concatenate([x[:, -2][windows[a : a + 8192]].max(axis=1) for a in range(0, len(windows), 8192)])
         by = np.lexsort((logit, text))
         top = by[np.append(edges[1:], len(text)) - 1]
         other = edges + (rng.random(len(edges)) * sizes).astype(np.int64)
@@ -296,7 +298,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         return None
     sample = spark.createDataFrame(rows, "doc_id long, toxic int")
     found = narrow(docs).join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").limit(2 * len(rows)).toArrow()
-    return train(found["text"].combine_chunks(), found["toxic"].to_numpy())
+    model = train(found["text"].combine_chunks(), found["toxic"].to_numpy())
+    del found
+    release()
+    return model
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
