@@ -23,7 +23,7 @@ def same(spark, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["merge_islands", "setop_intersect", "overlap_semi", "nearest_upstream", "region_bits", "nxx", "kmer_shared", "holm", "pcr_reduce", "pearson_pairs", "itemset_support", "rle_spans"])
+@pytest.mark.parametrize("name", ["merge_islands", "setop_intersect", "overlap_semi", "nearest_upstream", "region_bits", "nxx", "kmer_shared", "holm", "pcr_reduce", "pearson_pairs", "itemset_support", "rle_spans", "seq_gc_percent", "seq_reverse_complement", "seq_complexity_class", "text_one_blank"])
 def test_query(spark, name):
     same(spark, name)
 
