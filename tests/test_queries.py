@@ -1,6 +1,7 @@
 """Queries against DuckDB on the smallest tables, and hand-made intervals."""
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ def same(spark, name):
     want = con.execute(catalog.oracle_sql()[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
-    rows = lambda df: sorted(tuple("" if v is None or v != v else v if isinstance(v, str) else float(v) for v in r) for r in df[columns].astype(object).itertuples(index=False))
+    rows = lambda df: sorted((tuple("" if pd.isna(v) else v if isinstance(v, str) else float(v) for v in r) for r in df[columns].astype(object).itertuples(index=False)), key=repr)
     assert rows(got) == rows(want)
 
 
