@@ -7,7 +7,7 @@ cover the whole text; each is read in both directions by gated recurrent units,
 pooled by attention. A document's score is that of its highest window.
 
 Training is on a bounded sample of labelled rows: at most MOST_TOXIC and MOST_CLEAN documents, those of
-least hash of their doc_id, never a held-out one. Labels are of documents, so each epoch scores all
+least hash of their doc_id, never a held-out one. One task trains, and sends the weights to the driver. Labels are of documents, so each epoch scores all
 windows of the sample and learns from each document's highest window and one other.
 
 Nulls: a null text is empty and gets the score of a window without words. A null doc_id is not held
@@ -17,6 +17,7 @@ are not looked at.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from dataclasses import dataclass, field
 
@@ -297,11 +298,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     if not rows:
         return None
     sample = spark.createDataFrame(rows, "doc_id long, toxic int")
-    found = narrow(docs).join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").limit(2 * len(rows)).toArrow()
-    model = train(found["text"].combine_chunks(), found["toxic"].to_numpy())
-    del found
-    release()
-    return model
+    found = narrow(docs).join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").limit(2 * len(rows))
+
+    def learn(batches):
+        some = [b for b in batches if b.num_rows]
+        got = pa.Table.from_batches(some) if some else None
+        model = train(got["text"].combine_chunks(), got["toxic"].to_numpy()) if got else None
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    # One task trains on the bounded sample; its texts never come to the driver. A lost task trains the same again.
+    models = [r["model"] for r in found.coalesce(1).mapInArrow(lean(learn), "model binary").collect()]
+    return pickle.loads(models[0]) if models else None
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
