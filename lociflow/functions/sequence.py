@@ -36,3 +36,20 @@ def without_isoform(name: Column) -> Column:
 def one_blank(value: Column) -> Column:
     """Trimmed, each run of white space one blank."""
     return F.regexp_replace(F.regexp_replace(value, r"^\s+|\s+$", ""), r"\s+", " ")
+
+
+def without_quotes(value: Column) -> Column:
+    """Without quotes around it, then without white space around that."""
+    return F.regexp_replace(F.regexp_replace(value, "^[\"']+|[\"']+$", ""), r"^\s+|\s+$", "")
+
+
+def canonical(seq: Column) -> Column:
+    """The smaller of a sequence and its reverse complement: one key for both strands."""
+    return F.least(seq, reverse_complement(seq))
+
+
+def sub_sequences(seq: Column, size: int, step: int) -> Column:
+    """(at, seq) of windows of the size at every step, from position 0; the last may be short, none is empty."""
+    at = F.sequence(F.lit(0), F.greatest(F.char_length(seq) - 1, F.lit(0)), F.lit(step))
+    of = F.transform(F.filter(at, lambda i: i < F.char_length(seq)), lambda i: F.struct(i.alias("at"), F.substring(seq, i + 1, F.lit(size)).alias("seq")))
+    return F.when(seq.isNotNull(), of)

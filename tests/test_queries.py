@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lociflow import catalog
 from lociflow.operators import graph, intervals
+from lociflow.plans import series_queries
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings conversations".split()
@@ -24,7 +25,7 @@ def same(spark, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["merge_islands", "setop_intersect", "overlap_semi", "nearest_upstream", "region_bits", "nxx", "kmer_shared", "holm", "pcr_reduce", "pearson_pairs", "itemset_support", "rle_spans", "seq_gc_percent", "seq_reverse_complement", "seq_complexity_class", "text_one_blank"])
+@pytest.mark.parametrize("name", ["merge_islands", "setop_intersect", "overlap_semi", "nearest_upstream", "region_bits", "nxx", "kmer_shared", "holm", "pcr_reduce", "pearson_pairs", "itemset_support", "rle_spans", "seq_gc_percent", "seq_reverse_complement", "seq_complexity_class", "text_one_blank", *series_queries.QUERIES])
 def test_query(spark, name):
     same(spark, name)
 
