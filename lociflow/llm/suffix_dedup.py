@@ -411,6 +411,8 @@ def kept_bytes(docs: DataFrame, with_text: bool) -> DataFrame:
     copies = long.select("doc_id", *text_key).join(firsts, ["t1", "t2"]).filter("doc_id > first").select(F.col("doc_id").alias("copy_id"), F.col("t1").alias("copy_t1"), F.col("t2").alias("copy_t2")).distinct()
     copies = written(copies, "copies")
 
+    # The texts lie by doc_id after the first join; the second, by doc_id and text, needs no shuffle of them then.
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     blobs = compressed_all(docs)
     marked = blobs.join(gone, F.col("doc_id") == F.col("id"), "left").drop("id")
     marked = marked.join(copies, (F.col("doc_id") == F.col("copy_id")) & (F.col("t1") == F.col("copy_t1")) & (F.col("t2") == F.col("copy_t2")), "left").drop("copy_t1", "copy_t2", "t2")
