@@ -12,6 +12,10 @@ anchors, and each anchor passes on a spanning forest of its links rather than al
 Equal fingerprints are one class before anything is replicated, so groups of copies cost one entry.
 The classes' components come from star contractions over the links.
 
+Near groups (pipeline) also link texts by their sets of five-word shingles: sets that are alike meet, but for a
+chance of 5e-8 a pair, at a band key of their least hashes in seeded orders (MinHash), and are then compared whole.
+Only texts of equal sets stand for one another there.
+
 Nulls: a null text has no words and fingerprint zero, which links like any other. A null doc_id sorts
 before all others and shows as null. Rows that share a doc_id are one document as far as links go. An
 empty table gives no rows; long texts are taken whole; other columns are not looked at.
@@ -30,6 +34,11 @@ from .common import lean, narrow, parts, slices, table, written
 
 WORDS, MOST_BITS, SEED = 3, 3, 42
 NO_DOC = -(1 << 63)
+#: Sets of Jaccard similarity j share no band key with a chance of (1 - j ** BAND_ROWS) ** BANDS: 5e-8 at 0.8.
+BANDS, BAND_ROWS = 32, 4
+#: One order of the hashes a row: odd multipliers and summands.
+TIMES, PLUS = (np.array([[xxhash.xxh64_intdigest(b"%d" % i, seed) | 1] for i in range(BANDS * BAND_ROWS)], dtype=np.uint64) for seed in (1, 2))
+MEETING = "key long, node long, c long, doc long"
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -132,55 +141,40 @@ def anchor_links(fp: np.ndarray, node: np.ndarray, home: np.ndarray, ends: np.nd
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def anchor_pairs(fp: np.ndarray, node: np.ndarray, home: np.ndarray, ends: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within most_bits at each anchor."""
-    a, b = [], []
-    start = 0
-    for end in ends.tolist():
-        f, n = fp[start:end], node[start:end]
-        start = end
-        for at in range(0, len(f) - 1, 256):
-            i, j = np.nonzero(np.bitwise_count(f[at : at + 256, None] ^ f[None, at:]) <= most_bits)
-            a.append(n[at + i[i < j]])
-            b.append(n[at + j[i < j]])
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def links(classes: DataFrame, most_bits: int, wide: bool = False) -> DataFrame:
-    """(a, b): links between classes (fp, node) that differ in at most most_bits bits.
-
-    Narrow: one side looks at its home anchor; enough links come to connect all that are linked. Wide, for thresholds
-    that would take too many blocks: blocks may differ in two bits; some word lies within one bit of
-    both sides, whose home both are replicated to, and all pairs come, so that they can be verified.
-    """
-    in_block, at_anchor = (2, anchor_pairs) if wide else (1, anchor_links)
+def whole_groups(batches, columns: list[str], keys: int):
+    """(the columns' arrays, where each group ends), by whole groups of rows that come sorted by the first keys columns."""
+    held = None
+    for batch in _with_end(batches):
+        if batch is not None and batch.num_rows == 0:
+            continue
+        if batch is not None:
+            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in columns]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+        if held is None:
+            continue
+        ends = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in held[:keys]])) + 1
+        ends = np.append(ends, len(held[0])) if batch is None else ends
+        if not len(ends):
+            continue
+        k = ends[-1]
+        yield [x[:k] for x in held], ends
+        held = [x[k:] for x in held]
+
+
+def links(classes: DataFrame, most_bits: int) -> DataFrame:
+    """(a, b): links between classes (fp, node) that differ in at most most_bits bits; enough to connect all that are linked."""
 
     def emit(batches):
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False)
             node = batch.column("node").to_numpy(zero_copy_only=False)
             for at in range(0, len(fp), 4096):
-                rows, block, anchor, home = replicate(fp[at : at + 4096].view(np.uint64), most_bits, in_block)
+                rows, block, anchor, home = replicate(fp[at : at + 4096].view(np.uint64), most_bits)
                 yield pa.RecordBatch.from_pydict({"block": pa.array(block), "anchor": pa.array(anchor.view(np.int64)), "home": pa.array(home), "fp": pa.array(fp[at : at + 4096][rows]), "node": pa.array(node[at : at + 4096][rows])})
 
     def compare(batches):
-        held = None
-        for batch in _with_end(batches):
-            if batch is not None and batch.num_rows == 0:
-                continue
-            if batch is not None:
-                now = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("block", "anchor", "home", "fp", "node")]
-                held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            if held is None:
-                continue
-            block, anchor = held[:2]
-            ends = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(block) != 0)) + 1
-            ends = np.append(ends, len(anchor)) if batch is None else ends
-            if not len(ends):
-                continue
-            k = ends[-1]
-            a, b = at_anchor(held[3][:k].view(np.uint64), held[4][:k], held[2][:k], ends, most_bits)
-            held = [x[k:] for x in held]
+        for (_, _, home, fp, node), ends in whole_groups(batches, ["block", "anchor", "home", "fp", "node"], 2):
+            a, b = anchor_links(fp.view(np.uint64), node, home, ends, most_bits)
             if len(a):
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -194,26 +188,63 @@ def _with_end(batches):
     yield None
 
 
+def named_fingerprints(fps: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """(fp, component) of every fingerprint of (doc_id, fp); a component of null documents is NO_DOC."""
+    classes = written(fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_DOC))).alias("node")), "classes")
+    found = connected_components(links(classes, most_bits))
+    return classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+
+
 def components(docs: DataFrame, words: int = WORDS, most_bits: int = MOST_BITS) -> DataFrame:
     """(doc_id, fp, component) of every document."""
     fps = written(fingerprints(docs, words), "fingerprints")
-    known = F.coalesce("doc_id", F.lit(NO_DOC))
-    classes = written(fps.groupBy("fp").agg(F.min(known).alias("node")), "classes")
-    found = connected_components(links(classes, most_bits))
-    named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    out = fps.join(named, "fp")
+    out = fps.join(named_fingerprints(fps, most_bits), "fp")
     return out.select("doc_id", "fp", F.when(F.col("component") != NO_DOC, F.col("component")).alias("component"))
 
 
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """The BANDS keys of a set: each of BAND_ROWS least values, by as many orders of the hashes."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 2048):
+        np.minimum(least, (hashes[at : at + 2048] * TIMES + PLUS).min(axis=1), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        keys = (keys ^ column) * TIMES[0]
+        keys ^= keys >> np.uint64(32)
+    return keys
+
+
+def set_class(hashes: np.ndarray) -> int:
+    """A signed 64-bit name of a set of shingles, ascending."""
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
+
+
+def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp, c, bands) of every text: its fingerprint, and the class and band keys of its set of shingles, if it has any."""
+
+    def compute(batches):
+        for batch in slices(batches, "text", 8 << 20):
+            out = {"fp": [], "c": [], "bands": []}
+            for t in batch.column("text").to_pylist():
+                s = np.unique(shingle_hashes(t, words))
+                out["fp"].append(fingerprint(shingle_hashes(t, WORDS)))
+                out["c"].append(set_class(s) if len(s) else None)
+                out["bands"].append(band_keys(s).tobytes() if len(s) else None)
+            fp = np.array(out["fp"], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(fp), "c": pa.array(out["c"], pa.int64()), "bands": pa.array(out["bands"], pa.binary())})
+
+    return narrow(docs).mapInArrow(lean(compute), "doc_id long, fp long, c long, bands binary")
+
+
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, s): the distinct shingle hashes of every text, ascending, as bytes."""
+    """(c, s): class and distinct shingle hashes of every text, ascending, as bytes."""
 
     def compute(batches):
         for batch in slices(batches, "text", 8 << 20):
-            s = [np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "s": pa.array(s, pa.binary())})
+            s = [np.unique(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"c": pa.array([set_class(x) for x in s], pa.int64()), "s": pa.array([x.tobytes() for x in s], pa.binary())})
 
-    return narrow(docs).mapInArrow(lean(compute), "doc_id long, s binary")
+    return narrow(docs).mapInArrow(lean(compute), "c long, s binary")
 
 
 def alike(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -231,24 +262,83 @@ def alike(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.mapInArrow(lean(verify), "a long, b long")
 
 
-def near_groups(docs: DataFrame, most_bits: int = 11, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def meetings(classes: DataFrame) -> DataFrame:
+    """(key, node, c, doc) of the classes (c, doc, node, bands) at every band key that two nodes share."""
+
+    def emit(batches):
+        for batch in batches:
+            keys = [np.frombuffer(x, np.int64) for x in batch.column("bands").to_pylist()]
+            for at in range(0, len(keys), 4096):
+                many = lambda k: pa.array(np.repeat(batch.column(k).to_numpy(zero_copy_only=False)[at : at + 4096], BANDS))  # noqa: B023, E731
+                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys[at : at + 4096])), "node": many("node"), "c": many("c"), "doc": many("doc")})
+
+    def shared(batches):
+        for (key, node, c, doc), ends in whole_groups(batches, ["key", "node", "c", "doc"], 1):
+            starts = np.concatenate(([0], ends[:-1]))
+            many = np.repeat(node[starts] != node[ends - 1], ends - starts)
+            if many.any():
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key[many]), "node": pa.array(node[many]), "c": pa.array(c[many]), "doc": pa.array(doc[many])})
+
+    return _by_key(classes.mapInArrow(lean(emit), MEETING)).mapInArrow(lean(shared), MEETING)
+
+
+def _by_key(met: DataFrame) -> DataFrame:
+    return met.repartition(parts(met.sparkSession), "key").sortWithinPartitions("key", "node", "c")
+
+
+def candidates(met: DataFrame, every: bool) -> DataFrame:
+    """(a, b, ca, cb): nodes and classes of pairs that meet at a key and have different nodes: those with the key's first, or every pair."""
+
+    def pairs(batches):
+        for (_, node, c), ends in whole_groups(batches, ["key", "node", "c"], 1):
+            starts = np.concatenate(([0], ends[:-1]))
+            if not every:
+                i, j = np.repeat(starts, ends - starts), np.arange(len(node))
+                yield from put(node, c, i[node[i] != node[j]], j[node[i] != node[j]])
+                continue
+            for g in np.flatnonzero(node[starts] != node[ends - 1]).tolist():
+                n = node[starts[g] : ends[g]]
+                for at in range(0, len(n), 256):
+                    i, j = np.nonzero(n[at : at + 256, None] < n[None, at:])
+                    yield from put(node, c, starts[g] + at + i, starts[g] + at + j)
+
+    def put(node, c, i, j):
+        if len(i):
+            yield pa.RecordBatch.from_pydict({"a": pa.array(node[i]), "b": pa.array(node[j]), "ca": pa.array(c[i]), "cb": pa.array(c[j])})
+
+    return _by_key(met.select("key", "node", "c")).mapInArrow(lean(pairs), "a long, b long, ca long, cb long").distinct()
+
+
+def relabelled(df: DataFrame, column: str, found: DataFrame) -> DataFrame:
+    """df with the nodes in a column replaced by their components."""
+    to = found.select(F.col("node").alias("_node"), F.col("component").alias("_to"))
+    return df.join(to, F.col(column) == F.col("_node"), "left").withColumn(column, F.coalesce("_to", column)).drop("_node", "_to")
+
+
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, group) of every document: near copies of at least that similarity share the smallest doc_id.
 
-    Fingerprints within MOST_BITS are one group. The groups' first documents are then compared at the
-    wide threshold, and pairs are kept whose shingle sets are alike.
+    Fingerprints within MOST_BITS are one group. The groups' first texts are compared where they share a
+    band key, and are linked if their shingle sets are alike: first with the first text at each key, then,
+    where groups are still apart, every text with every other.
     """
-    tight = written(components(docs), "tight")
+    marks = written(signatures(docs, words), "signatures")
     known = F.coalesce("doc_id", F.lit(NO_DOC))
-    named = tight.select(known.alias("doc_id"), "fp", F.coalesce("component", F.lit(NO_DOC)).alias("component"))
-    first = named.filter("doc_id = component").groupBy(F.col("component").alias("node")).agg(F.min("fp").alias("fp"))
-    pairs = written(links(first, most_bits, wide=True), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    base = narrow(docs).select(known.alias("doc_id"), "text")
-    sets = written(shingle_sets(base.join(wanted, "doc_id", "left_semi"), words), "shingles").groupBy("doc_id").agg(F.min("s").alias("s"))
-    put = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    found = connected_components(alike(put.select("a", "b", "sa", "sb"), similarity))
-    out = named.join(found.withColumnRenamed("component", "wider"), F.col("component") == F.col("node"), "left")
-    return out.select("doc_id", F.coalesce("wider", "component").alias("group"))
+    named = written(named_fingerprints(marks.select("doc_id", "fp")), "tight")
+    texts = marks.filter("c is not null").groupBy("fp", "c").agg(F.min(known).alias("doc"), F.min("bands").alias("bands"))
+    texts = written(texts.join(named, "fp").filter("doc = component").select("c", "doc", "component", "bands"), "texts")
+    classes = written(texts.groupBy("c").agg(F.min("component").alias("node"), F.min("doc").alias("doc"), F.min("bands").alias("bands")), "text_classes")
+    equal = texts.join(classes.select("c", "node"), "c").filter("component <> node").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    met = written(meetings(classes), "meetings")
+    base = narrow(docs).select(known.alias("doc_id"), "text").join(met.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = written(shingle_sets(base, words), "shingles").groupBy("c").agg(F.min("s").alias("s"))
+    for every in (False, True):
+        pairs = written(candidates(met, every), "pairs")
+        put = pairs.join(sets.select(F.col("c").alias("ca"), F.col("s").alias("sa")), "ca").join(sets.select(F.col("c").alias("cb"), F.col("s").alias("sb")), "cb")
+        good = alike(put.select("a", "b", "sa", "sb"), similarity)
+        found = connected_components(good if every else good.unionByName(equal))
+        named, met = relabelled(named, "component", found), relabelled(met, "node", found)
+    return marks.join(named, "fp").select(known.alias("doc_id"), F.col("component").alias("group"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

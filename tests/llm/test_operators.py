@@ -249,3 +249,45 @@ def test_null_ids_and_repeated_rows(spark, tmp_path, name):
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(4, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert queries.QUERIES[name](spark, str(tmp_path)).count() >= 6
+
+
+def shingles(t, words=5):
+    w = t.split()
+    return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)}
+
+
+def jaccard(s, t):
+    x, y = shingles(s), shingles(t)
+    return len(x & y) / len(x | y)
+
+
+def bits_apart(s, t):
+    a, b = (simhash.fingerprint(simhash.shingle_hashes(x, simhash.WORDS)) for x in (s, t))
+    return (a ^ b).bit_count()
+
+
+def brute_groups(texts):
+    label = list(range(len(texts)))
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if bits_apart(texts[i], texts[j]) <= simhash.MOST_BITS or jaccard(texts[i], texts[j]) >= 0.8]
+    for _ in texts:
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+def near_groups_of(spark, texts):
+    out = simhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    return [g for _, g in sorted((r["doc_id"], r["group"]) for r in out)]
+
+
+def test_near_groups_far_fingerprints(spark):
+    """Copies with one replaced passage, some of them more than 11 bits apart."""
+    rng = np.random.default_rng(8)
+    text = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 5000, n))
+    texts = []
+    for _ in range(40):
+        body = text(150)
+        texts += [body + " " + text(15), body + " " + text(15)]
+    alike = [(s, t) for s, t in zip(texts[::2], texts[1::2], strict=True) if jaccard(s, t) >= 0.8]
+    assert len(alike) == 40 and sum(bits_apart(s, t) > 11 for s, t in alike) >= 3
+    assert near_groups_of(spark, texts) == brute_groups(texts)
