@@ -318,7 +318,7 @@ def relabelled(df: DataFrame, column: str, found: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, group) of every document: near copies of at least that similarity share the smallest doc_id.
 
-    Fingerprints within MOST_BITS are one group. The groups' first texts are compared where they share a
+    Fingerprints within MOST_BITS are one group. Texts of different groups are compared where they share a
     band key, and are linked if their shingle sets are alike: first with the first text at each key, then,
     where groups are still apart, every text with every other.
     """
@@ -326,7 +326,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     known = F.coalesce("doc_id", F.lit(NO_DOC))
     named = written(named_fingerprints(marks.select("doc_id", "fp")), "tight")
     texts = marks.filter("c is not null").groupBy("fp", "c").agg(F.min(known).alias("doc"), F.min("bands").alias("bands"))
-    texts = written(texts.join(named, "fp").filter("doc = component").select("c", "doc", "component", "bands"), "texts")
+    texts = written(texts.join(named, "fp").select("c", "doc", "component", "bands"), "texts")
     classes = written(texts.groupBy("c").agg(F.min("component").alias("node"), F.min("doc").alias("doc"), F.min("bands").alias("bands")), "text_classes")
     equal = texts.join(classes.select("c", "node"), "c").filter("component <> node").select(F.col("component").alias("a"), F.col("node").alias("b"))
     met = written(meetings(classes), "meetings")

@@ -291,3 +291,20 @@ def test_near_groups_far_fingerprints(spark):
     alike = [(s, t) for s, t in zip(texts[::2], texts[1::2], strict=True) if jaccard(s, t) >= 0.8]
     assert len(alike) == 40 and sum(bits_apart(s, t) > 11 for s, t in alike) >= 3
     assert near_groups_of(spark, texts) == brute_groups(texts)
+
+
+def test_near_groups_by_any_member(spark):
+    """a2 has a1's group by its fingerprint; b1 is alike to a2, but not to a1."""
+    rng = np.random.default_rng(9)
+    text = lambda n: [f"v{x}" for x in rng.integers(0, 5000, n)]
+    texts = []
+    while len(texts) < 15:
+        a1 = text(200)
+        a2 = a1[:]
+        a2[197:] = text(3)
+        b1 = text(21) + a2[21:]
+        a1, a2, b1 = map(" ".join, (a1, a2, b1))
+        if bits_apart(a1, a2) <= 3 and jaccard(a2, b1) >= 0.8 > jaccard(a1, b1) and min(bits_apart(a1, b1), bits_apart(a2, b1)) > 3:
+            texts += [a1, a2, b1]
+    assert brute_groups(texts) == [i // 3 * 3 for i in range(15)]
+    assert near_groups_of(spark, texts) == brute_groups(texts)
