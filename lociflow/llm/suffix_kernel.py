@@ -32,6 +32,11 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _order(h: np.ndarray) -> np.ndarray:
+    """The rank of hashes among anchors: their upper half, but never 0, which marks that there is no string."""
+    return np.maximum((h >> np.uint64(32)).astype(np.uint32), np.uint32(1))
+
+
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     """best over x[i : i + width] for every i that has as many."""
     size = 1
@@ -51,7 +56,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     h = gram_hashes(data)
     if len(h) < width:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    order = (h >> np.uint64(32)).astype(np.uint32)
+    order = _order(h)
     least = _sliding(order, width, np.minimum)
     # Strings that run over the end of a text choose nothing.
     for end in offsets[1:-1].tolist():
@@ -66,7 +71,7 @@ def named_strings(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
     n = len(text) - LENGTH + 1
     if n <= 0 or not len(at):
         return np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
-    order = (gram_hashes(text) >> np.uint64(32)).astype(np.uint32)
+    order = _order(gram_hashes(text))
     least = _sliding(order, REACH + 1, np.minimum)
     at = np.asarray(at, dtype=np.int64)
     starts = at[:, None] - REACH + np.arange(REACH + 1)

@@ -308,3 +308,11 @@ def test_near_groups_by_any_member(spark):
             texts += [a1, a2, b1]
     assert brute_groups(texts) == [i // 3 * 3 for i in range(15)]
     assert near_groups_of(spark, texts) == brute_groups(texts)
+
+
+def test_repeats_of_nul_bytes(spark):
+    """The gram of NUL bytes has hash 0."""
+    passage = " in both " + "\0" * 60 + " of them"
+    texts = ["a first text:" + passage + "; its end", "second text," + passage + ". Another end"]
+    out = suffix_dedup.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {0: texts[0], 1: texts[1].replace(passage, "")}
