@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Alternating star contractions: large stars hang every larger neighbour on a node's smallest
     neighbour, small stars do so with the others. Each round writes its edges to the shared folder,
     so lineage stays short, and needs only aggregates and equi-joins, which AQE splits where a hub is
-    hot. Self-loops are ignored; an empty table gives no rows.
+    hot. Self-loops are ignored; an empty table gives no rows. Rounds grow with the logarithm of the nodes;
+    edges that still change after most_rounds are an error, never a wrong answer.
     """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
     seen = None
@@ -31,6 +32,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if tuple(state) == seen:
             break
         seen = tuple(state)
+    else:
+        raise RuntimeError(f"components still change after {most_rounds} rounds")
     members = now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return members.unionByName(roots)

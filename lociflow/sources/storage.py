@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which the driver and all executors see.
 
-    Where that setting is empty (tests, one machine) a folder of its own is set for the session.
+    Where that setting is empty and the master is one machine (tests) a folder of its own is set for the
+    session; on a cluster that is an error, as executors would not see it. All of an application's folders lie in one, which goes
+    when the driver ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that the driver and all executors see")
         base = "file://" + tempfile.mkdtemp(prefix="lociflow-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/lociflow-{spark.sparkContext.applicationId}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(at)
+    store.deleteOnExit(at)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
