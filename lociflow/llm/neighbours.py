@@ -2,20 +2,22 @@
 
 Vectors are scaled to length 1, and each of CURVES random projections to DIMS dimensions, shifted
 within a cell, orders them along a Hilbert curve. The orders come from one range-partitioned sort by
-(curve, key); sums of the partitions before give every vector its rank. On each curve a query looks at
-the blocks of ranks that its window of WINDOW_SHARE of all ranks reaches; blocks hold BLOCK vectors, so that a task's memory doesn't
-grow with the data, and all that a block's queries find there is ranked by the exact cosine. The lists of all curves merge into one.
+(space, curve, key); sums of the partitions before give every vector its rank. On each curve a query looks at
+the blocks of ranks that its window reaches, WINDOW_SHARE of all ranks and SLACK more on each side. A block holds at most BLOCK vectors; its task
+keeps these and lets the queries that reach it stream by, and ranks all that they find by the exact cosine. The
+lists of all curves merge into one.
 
-Equal vectors are one entry on the curves; its members come back with the lists, as many of the
-smallest ids as an answer can use. So a vector that a third of the rows share costs one entry.
+Vectors that are equal up to a power of two have the same cosines to the last bit. They are one entry on the
+curves; its members come back with the lists, as many of the smallest ids as an answer can use. So a vector that
+a third of the rows share costs one entry. Entries that tie with the last of a list are told apart by their least id.
 
 The share was chosen by recall on 64-dimensional vectors without any clusters, where neighbours have
-cosines of 0.4: 16 curves of 6 percent find nine in ten of the five nearest at every size tried. With
-clustered data far smaller windows do.
+cosines of 0.4: 16 curves of 6 percent find nine in ten of the five nearest at every size tried, from 500 vectors
+on. So work grows as queries times vectors there. With clustered data far smaller windows do.
 
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of other
-than the most frequent length. Null ids take no part either. An empty table gives no rows. Repeated
-rows with one id count once. Other columns are not looked at.
+Vectors that are null, zero, or hold null or non-finite components take no part. A cosine needs two vectors of one length:
+each length is a space of its own. Null ids take no part. An empty table gives no rows. Repeated rows with one id count
+once. Long vectors are taken whole, and very large or small components are scaled first. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ from pyspark.sql.window import Window
 
 from .common import lean, parts, table, written
 
-CURVES, DIMS, BITS, WINDOW_SHARE, BLOCK, SALTS = 16, 8, 6, 0.06, 1024, 32
+CURVES, DIMS, BITS, WINDOW_SHARE, SLACK, BLOCK, SALTS = 16, 8, 6, 0.06, 32, 1024, 32
+#: Queries that a block ranks at once; blocks to which half a window is dealt.
+AT_ONCE, IN_HALF = 512, 2
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -77,26 +81,26 @@ def curve_keys(unit: np.ndarray, projection: np.ndarray, shift: np.ndarray, bits
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v) of the vectors that take part."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
+    """(vec_id, v, space) of the vectors that take part, divided by the power of two in their largest component; space: their length."""
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     v = v.filter(F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
-    best = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return v.filter(F.size("v") == (best["n"] if best else 0))
+    # In two steps, as the power itself may be out of reach.
+    v = v.withColumn("e", F.floor(F.log2(F.array_max(F.transform("v", F.abs)))).cast("int"))
+    step = [F.pow(F.lit(2.0), -x) for x in (F.expr("e div 2").cast("double"), F.expr("e - e div 2").cast("double"))]
+    return v.select("vec_id", F.transform("v", lambda x: x * step[0] * step[1]).alias("v"), F.size("v").alias("space"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 1))
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def nearest(vectors: DataFrame, is_query, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each vector with is_query(vec_id)."""
     spark = vectors.sparkSession
     n_parts = parts(spark)
-    rows = usable(vectors)
-    hashed = rows.select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(3), F.col("v")).alias("h2"))
-    classes = written(hashed.groupBy("h1", "h2").agg(F.min("vec_id").alias("c"), F.first("v").alias("v"), F.max(F.when(is_query(F.col("vec_id")), 1).otherwise(0)).alias("asks")), "vectors")
+    hashed = usable(vectors).select("vec_id", "v", "space", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(3), F.col("v")).alias("h2"))
+    classes = written(hashed.groupBy("h1", "h2").agg(F.min("vec_id").alias("c"), F.first("space").alias("space"), F.first("v").alias("v"), F.max(F.when(is_query(F.col("vec_id")), 1).otherwise(0)).alias("asks")), "vectors")
     # The k + 1 smallest ids of each class: first of each salt, then of all.
     salted = hashed.select("h1", "h2", "vec_id").withColumn("salt", F.pmod(F.hash("vec_id"), F.lit(SALTS))).distinct()
     by_salt = Window.partitionBy("h1", "h2", "salt").orderBy("vec_id")
@@ -108,63 +112,61 @@ def nearest(vectors: DataFrame, is_query, k: int) -> DataFrame:
     askers = hashed.filter(is_query(F.col("vec_id"))).select("h1", "h2", F.col("vec_id").alias("query_id")).distinct().join(keys, ["h1", "h2"]).select("query_id", F.col("c").alias("q"))
 
     def order(batches):
-        planes = None
+        planes: dict[int, list] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column("v"))
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            planes = planes or projections(x.shape[1])
-            c = batch.column("c").to_numpy()
-            for number, (p, s) in enumerate(planes):
-                yield pa.RecordBatch.from_pydict({"curve": pa.array(np.full(len(c), number, np.int32)), "key": pa.array(curve_keys(x, p, s)), "c": pa.array(c)})
+            spaces = batch.column("space").to_numpy()
+            for space in np.unique(spaces).tolist():
+                own = batch.filter(pa.array(spaces == space))
+                x = _matrix(own.column("v"))
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                if space not in planes:
+                    planes[space] = projections(space)
+                c = own.column("c").to_numpy()
+                for number, (p, s) in enumerate(planes[space]):
+                    yield pa.RecordBatch.from_pydict({"space": own.column("space"), "curve": pa.array(np.full(len(c), number, np.int32)), "key": pa.array(curve_keys(x, p, s)), "c": pa.array(c)})
 
     def count_off(batches):
         part, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
-            curve = batch.column("curve").to_numpy()
+            space, curve = batch.column("space").to_numpy(), batch.column("curve").to_numpy()
+            edges = _edges(space, curve)
             local = np.empty(len(curve), np.int64)
-            for number in np.unique(curve).tolist():
-                own = curve == number
-                local[own] = seen.get(number, 0) + np.arange(own.sum())
-                seen[number] = seen.get(number, 0) + int(own.sum())
-            yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(curve), part, np.int32)), "curve": batch.column("curve"), "local": pa.array(local), "c": batch.column("c")})
-
-    ordered = classes.select("c", "v").mapInArrow(lean(order), "curve int, key long, c long").repartitionByRange(n_parts, "curve", "key", "c").sortWithinPartitions("curve", "key", "c")
-    ranked = written(ordered.mapInArrow(lean(count_off), "part int, curve int, local long, c long"), "ranks")
-    # One row for each partition and curve in it: at most partitions + curves.
-    sizes = sorted((r["curve"], r["part"], r["n"]) for r in ranked.groupBy("curve", "part").agg((F.max("local") + 1).alias("n")).collect())
-    bases, total = [], {}
-    for curve, part, n in sizes:
-        bases.append((curve, part, total.get(curve, 0)))
-        total[curve] = total.get(curve, 0) + n
-    n = max(total.values(), default=0)
-    half = max(BLOCK, math.ceil(n * WINDOW_SHARE / 2))
-    base = spark.createDataFrame(bases, "curve int, part int, base long")
-    places = ranked.join(F.broadcast(base), ["curve", "part"]).select("curve", "c", (F.col("base") + F.col("local")).alias("rank"))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                own = (int(space[a]), int(curve[a]))
+                local[a:b] = seen.get(own, 0) + np.arange(b - a)
+                seen[own] = seen.get(own, 0) + b - a
+            yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(curve), part, np.int32)), "space": batch.column("space"), "curve": batch.column("curve"), "local": pa.array(local), "c": batch.column("c")})
+
+    on = ["space", "curve"]
+    ordered = classes.select("space", "c", "v").mapInArrow(lean(order), "space int, curve int, key long, c long").repartitionByRange(n_parts, *on, "key", "c").sortWithinPartitions(*on, "key", "c")
+    ranked = written(ordered.mapInArrow(lean(count_off), "part int, space int, curve int, local long, c long"), "ranks")
+    # One row for each partition and curve in it: at most partitions + curves of all spaces.
+    sizes = ranked.groupBy(*on, "part").agg((F.max("local") + 1).alias("n"))
+    before = Window.partitionBy(*on).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    half = F.ceil(F.sum("n").over(Window.partitionBy(*on)) * (WINDOW_SHARE / 2)) + SLACK
+    base = sizes.select(*on, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy(*on)).alias("all"), half.alias("half"))
+    base = base.withColumn("block_size", F.least(F.lit(BLOCK), F.ceil(F.col("half") / IN_HALF)))
+    places = ranked.join(base, [*on, "part"]).select(*on, "c", (F.col("base") + F.col("local")).alias("rank"), "all", "half", "block_size")
     placed = places.join(classes.select("c", "v", "asks"), "c")
-    held = placed.select("curve", F.floor(F.col("rank") / BLOCK).alias("block"), F.lit(0).alias("kind"), "c", "v")
-    first, last = F.floor(F.greatest(F.col("rank") - half, F.lit(0)) / BLOCK), F.floor(F.least(F.col("rank") + half, F.lit(n - 1)) / BLOCK)
-    asked = placed.filter("asks = 1").select("curve", F.explode(F.sequence(first, last)).alias("block"), F.lit(1).alias("kind"), "c", "v")
+    held = placed.select(*on, F.floor(F.col("rank") / F.col("block_size")).alias("block"), F.lit(0).alias("kind"), "c", "v")
+    first, last = F.floor(F.greatest(F.col("rank") - F.col("half"), F.lit(0)) / F.col("block_size")), F.floor(F.least(F.col("rank") + F.col("half"), F.col("all") - 1) / F.col("block_size"))
+    asked = placed.filter("asks = 1").select(*on, F.explode(F.sequence(first, last)).alias("block"), F.lit(1).alias("kind"), "c", "v")
 
     def rerank(batches):
-        for curve_block, (c, x, kind) in _blocks(batches):
-            del curve_block
-            data, ask = kind == 0, np.flatnonzero(kind == 1)
-            if not data.any() or not len(ask):
-                continue
-            dc, dx = c[data], x[data]
-            dn = np.sqrt((dx * dx).sum(axis=1))
-            for at in range(0, len(ask), 512):
-                q = ask[at : at + 512]
-                near = x[q] @ (dx / dn[:, None]).T
-                take = min(k + 2, len(dc))
-                best = np.argpartition(-near, take - 1, axis=1)[:, :take]
-                qn = np.sqrt((x[q] * x[q]).sum(axis=1))
-                score = (x[q][:, None, :] * dx[best]).sum(axis=2) / (qn[:, None] * dn[best])
-                yield pa.RecordBatch.from_pydict({"q": pa.array(np.repeat(c[q], take)), "c": pa.array(dc[best].ravel()), "score": pa.array(score.ravel())})
-
-    met = held.unionByName(asked).repartition(n_parts, "curve", "block").sortWithinPartitions("curve", "block", "kind")
+        for (dc, dx), (qc, qx) in _blocks(batches):
+            near = qx @ (dx / np.sqrt((dx * dx).sum(axis=1))[:, None]).T
+            take = min(k + 1, len(dc))
+            least = np.partition(near, len(dc) - take, axis=1)[:, len(dc) - take]
+            # All that tie with the last, as far as products can tell; the exact score and the least id decide.
+            row, at = np.nonzero(near >= (least - 1e-9 * np.sqrt((qx * qx).sum(axis=1)))[:, None])
+            score = np.einsum("ij,ij->i", qx[row], dx[at]) / np.sqrt(np.einsum("ij,ij->i", qx[row], qx[row]) * np.einsum("ij,ij->i", dx[at], dx[at]))
+            by = np.lexsort((dc[at], -score, row))
+            row, at, score = row[by], at[by], score[by]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            best = place < take
+            yield pa.RecordBatch.from_pydict({"q": pa.array(qc[row[best]]), "c": pa.array(dc[at[best]]), "score": pa.array(score[best])})
+
+    met = held.unionByName(asked).repartition(n_parts, *on, "block").sortWithinPartitions(*on, "block", "kind", "c")
     found = met.mapInArrow(lean(rerank), "q long, c long, score double").groupBy("q", "c").agg(F.max("score").alias("score"))
     by_q = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     found = found.withColumn("r", F.row_number().over(by_q)).filter(F.col("r") <= k + 1).drop("r")
@@ -176,25 +178,33 @@ def nearest(vectors: DataFrame, is_query, k: int) -> DataFrame:
     return answers.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("member").alias("vec_id"), "score")
 
 
+def _edges(*columns: np.ndarray) -> list[int]:
+    """Where runs of equal rows begin, and the end."""
+    n = len(columns[0])
+    return [*([0] if n else []), *(np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in columns])) + 1).tolist(), n]
+
+
 def _blocks(batches):
-    """((curve, block), (c, vectors, kind)) of each block of sorted rows."""
-    held: list = []
-    key = None
+    """((c, vectors) of a block's data, (c, vectors) of up to AT_ONCE of its queries) of sorted rows; data come first in each block."""
+    key, data, open_ = None, ([], []), None
     for batch in batches:
         if not batch.num_rows:
             continue
-        curve, block = batch.column("curve").to_numpy(), batch.column("block").to_numpy()
-        x, c, kind = _matrix(batch.column("v")), batch.column("c").to_numpy(), batch.column("kind").to_numpy()
-        edges = [0, *(np.flatnonzero((np.diff(curve) != 0) | (np.diff(block) != 0)) + 1).tolist(), len(curve)]
+        space, curve, block, kind = (batch.column(x).to_numpy() for x in ("space", "curve", "block", "kind"))
+        c = batch.column("c").to_numpy()
+        edges = _edges(space, curve, block, kind)
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            now = (int(curve[a]), int(block[a]))
-            if key is not None and now != key:
-                yield key, tuple(np.concatenate(y) for y in zip(*held, strict=True))
-                held = []
-            key = now
-            held.append((c[a:b], x[a:b], kind[a:b]))
-    if held:
-        yield key, tuple(np.concatenate(y) for y in zip(*held, strict=True))
+            now = (int(space[a]), int(curve[a]), int(block[a]))
+            if now != key:
+                key, data, open_ = now, ([], []), None
+            x = _matrix(batch.column("v").slice(a, b - a))
+            if kind[a] == 0:
+                data[0].append(c[a:b])
+                data[1].append(x)
+                continue
+            open_ = open_ or (np.concatenate(data[0]), np.concatenate(data[1]))
+            for at in range(0, b - a, AT_ONCE):
+                yield open_, (c[a + at : min(b, a + at + AT_ONCE)], x[at : at + AT_ONCE])
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
