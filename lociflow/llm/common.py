@@ -91,6 +91,19 @@ def release() -> None:
         pass
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores at its end as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list:
+    """The columns of df, whatever their names."""
+    return [df[f"`{c}`"] for c in df.columns]
+
+
 def lean(f):
     """f, a function on an iterator of batches, followed by release()."""
 

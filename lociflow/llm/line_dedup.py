@@ -11,9 +11,10 @@ A line's key is the line without white space [\\x20\\x09-\\x0D] at its ends and
 `min_chars` code points stay. All lines of a dropped key go except those in the largest doc_id that
 has it.
 
-Nulls: a null text is one empty line. A null doc_id counts as smaller than any other. Repeated rows
-are documents of their own, each counted; rows that share the largest doc_id of a key all keep it. An
-empty table gives no rows. Other columns are not looked at.
+Nulls: a null text is one empty line. A null doc_id counts as smaller than any other. Rows that share a
+doc_id count as one document for a key; those that share the largest doc_id of a key all keep it, and in each
+row every line with the key. An empty table gives no rows. Very long texts and lines are taken whole. Other
+columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, narrow, slices, table, written
+from .common import columns_of, free_name, lean, narrow, slices, table, written
 
 MIN_CHARS, MIN_DOCS, BATCHES, FAN_OUT = 40, 5, 4, 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -106,24 +107,26 @@ def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int)
             some = some.filter(F.col("doc_id") >= low)
         if high is not None:
             some = some.filter(F.col("doc_id") < high)
-        runs.add(some.select(*hashes(F.col("key")), "doc_id"))
+        # Rows that share a doc_id are one document; a key that many documents share stays many rows until it is counted.
+        runs.add(some.select(*hashes(F.col("key")), "doc_id").distinct())
     return written(runs.compacted().filter(F.col("n_docs") >= min_docs).select(*KEY, "last_doc"), "repeated")
 
 
 def gone_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """(_doc, _t, gone): the line numbers that go, by doc_id and hash of the text."""
+    """(doc_id, t, gone): the line numbers that go, by doc_id and hash of the text."""
     docs = narrow(docs).select(F.coalesce("doc_id", F.lit(NO_DOC)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     repeated = repeated_lines(docs, min_chars, min_docs, batches)
     at = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.transform(F.split("text", "\n", -1), line_key)).alias("line", "key"))
     at = at.filter(F.char_length("key") >= min_chars).select("doc_id", "t", "line", *hashes(F.col("key")))
     gone = at.join(repeated, KEY).filter(F.col("doc_id") < F.col("last_doc"))
-    return gone.groupBy(F.col("doc_id").alias("_doc"), F.col("t").alias("_t")).agg(F.collect_set("line").alias("gone"))
+    return gone.groupBy("doc_id", "t").agg(F.collect_set("line").alias("gone"))
 
 
-def marked(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs with the column gone."""
+def marked(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """docs with the line numbers that go, as column `name`."""
     key = [F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_DOC)), F.xxhash64(F.coalesce(docs["text"], F.lit("")))]
-    return docs.join(gone, (key[0] == gone["_doc"]) & (key[1] == gone["_t"]), "left").drop("_doc", "_t")
+    gone = gone.withColumnRenamed("gone", name)
+    return docs.join(gone, (key[0] == gone["doc_id"]) & (key[1] == gone["t"]), "left").select(*columns_of(docs), gone[name])
 
 
 def without_lines(text: str, gone: list[int] | None) -> str:
@@ -146,20 +149,20 @@ def kept_lines(docs: DataFrame) -> DataFrame:
                 kept.append(without_lines(text, gone))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "kept": pa.array(kept, pa.string())})
 
-    return marked(docs, gone_lines(docs)).mapInArrow(lean(cut), "doc_id long, n_lines long, n_dropped long, kept string")
+    return marked(docs, gone_lines(docs), "gone").mapInArrow(lean(cut), "doc_id long, n_lines long, n_dropped long, kept string")
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with their texts cut; all columns stay."""
-    schema = docs.schema
+    schema, name = docs.schema, free_name(docs, "gone")
 
     def cut(batches):
         for batch in slices(batches, "text", 8 << 20):
             at = batch.schema.get_field_index("text")
-            texts = [t if t is None else without_lines(t, g) for t, g in zip(batch.column(at).to_pylist(), batch.column("gone").to_pylist(), strict=True)]
+            texts = [t if t is None else without_lines(t, g) for t, g in zip(batch.column(at).to_pylist(), batch.column(name).to_pylist(), strict=True)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).select(schema.names)
 
-    return marked(docs, gone_lines(docs)).mapInArrow(lean(cut), schema)
+    return marked(docs, gone_lines(docs), name).mapInArrow(lean(cut), schema)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
