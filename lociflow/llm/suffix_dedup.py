@@ -17,8 +17,9 @@ texts is not gathered in one bucket: its 50-byte strings are sent on their own,
 Copies of whole texts are found by hash first; only the smallest doc_id of each text takes part.
 
 Nulls: a null text is empty; a null doc_id counts as smaller than any other. Rows that share a doc_id
-are different documents, none smaller than the other. Texts under 50 bytes keep everything. An empty
-table gives no rows. Other columns are not looked at.
+are different documents, none smaller than the other. Texts under 50 bytes keep everything; very long texts
+are taken whole. Of documents that hold a string the smallest doc_id keeps it, all rows that share that
+doc_id. An empty table gives no rows. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, narrow, parts, release, slices, spread, table, texts, written
+from .common import columns_of, lean, narrow, parts, release, slices, spread, table, texts, written
 from .suffix_kernel import GRAM, LENGTH, REACH, anchors, covered, multikey_sort, named_strings
 
 HOT, BLOCK, SAMPLE_BAND, SAMPLE_EACH = 20_000, 900_000, 256, 32
@@ -114,7 +115,7 @@ def anchor_messages(docs: DataFrame, n: int) -> DataFrame:
                     key = h[a:b] >> np.uint64(16)
                     sa, sb = s_edges[k], s_edges[k + 1]
                     here, own = np.unique(index[a:b], return_inverse=True)  # the texts that this bucket sees
-                    rows.append((k, pack(np.diff(key, prepend=key[:1]), key[:1], own.astype(np.uint32), pos[a:b], names[here], classes[here] >> np.uint64(24), sample_h[sa:sb] >> np.uint64(16), sample[sa:sb])))
+                    rows.append((k, pack(np.diff(key, prepend=key[:1]), key[:1], own.astype(np.uint32), pos[a:b], names[here], classes[here] >> np.uint64(8), sample_h[sa:sb] >> np.uint64(16), sample[sa:sb])))
             return messages(rows)
 
         for batch in slices(batches, "text", 2 << 20):
@@ -406,24 +407,22 @@ def kept_bytes(docs: DataFrame, with_text: bool) -> DataFrame:
     gone = per_document(removals(sent, n).repartitionById(n, "to"), ["id", "starts", "ends", "kinds"], "id long, starts array<long>, ends array<long>, kinds array<long>")
     gone = written(gone, "gone")
 
+    # Copies of a text after its first document. The texts of a hot key stay many rows: only counts and hashes meet.
     text_key = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2")]
     firsts = long.select("doc_id", *text_key).groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    copies = long.select("doc_id", *text_key).join(firsts, ["t1", "t2"]).filter("doc_id > first").select(F.col("doc_id").alias("copy_id"), F.col("t1").alias("copy_t1"), F.col("t2").alias("copy_t2")).distinct()
-    copies = written(copies, "copies")
+    copies = long.select("doc_id", *text_key).join(firsts, ["t1", "t2"]).filter("doc_id > first")
+    copies = written(copies.groupBy(F.col("doc_id").alias("copy_id")).agg(F.collect_set(F.struct("t1", "t2")).alias("same")), "copies")
 
-    # The texts lie by doc_id after the first join; the second, by doc_id and text, needs no shuffle of them then.
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    blobs = compressed_all(docs)
-    marked = blobs.join(gone, F.col("doc_id") == F.col("id"), "left").drop("id")
-    marked = marked.join(copies, (F.col("doc_id") == F.col("copy_id")) & (F.col("t1") == F.col("copy_t1")) & (F.col("t2") == F.col("copy_t2")), "left").drop("copy_t1", "copy_t2", "t2")
+    marked = compressed_all(docs).join(gone, F.col("doc_id") == F.col("id"), "left").drop("id")
+    marked = marked.join(copies, F.col("doc_id") == F.col("copy_id"), "left").withColumn("copy", F.coalesce(F.array_contains("same", F.struct("t1", "t2")), F.lit(False))).drop("copy_id", "same", "t2")
 
     def cut(batches):
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text_hash")}
-            for doc, t1, cls, blob, starts, ends, kinds, copy in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "t1", "cls", "blob", "starts", "ends", "kinds", "copy_id")), strict=True):
+            for doc, t1, cls, blob, starts, ends, kinds, copy in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "t1", "cls", "blob", "starts", "ends", "kinds", "copy")), strict=True):
                 data = expand.decompress(blob)
-                if copy is not None:
+                if copy:
                     s, e = np.array([0]), np.array([len(data)])
                 elif starts:
                     own = np.array(kinds) == cls
@@ -468,10 +467,10 @@ def compressed_all(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated bytes cut out of their texts; all columns stay. A null text stays null."""
     kept = written(kept_bytes(docs, with_text=True), "kept").filter("n_removed > 0")
-    kept = kept.groupBy(F.coalesce("doc_id", F.lit(NO_DOC)).alias("_doc"), F.col("text_hash").alias("_t")).agg(F.min("kept").alias("_kept"))
+    kept = kept.groupBy(F.coalesce("doc_id", F.lit(NO_DOC)).alias("doc_id"), "text_hash").agg(F.min("kept").alias("kept"))
     key = [F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_DOC)), F.xxhash64(docs["text"])]
-    joined = docs.join(kept, (key[0] == kept["_doc"]) & (key[1] == kept["_t"]), "left")
-    return joined.select(*[F.coalesce("_kept", docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    joined = docs.join(kept, (key[0] == kept["doc_id"]) & (key[1] == kept["text_hash"]), "left")
+    return joined.select(*[F.coalesce(kept["kept"], c).alias("text") if name == "text" else c for name, c in zip(docs.columns, columns_of(docs), strict=True)])
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
