@@ -49,7 +49,10 @@ def canonical(seq: Column) -> Column:
 
 
 def sub_sequences(seq: Column, size: int, step: int) -> Column:
-    """(at, seq) of windows of the size at every step, from position 0; the last may be short, none is empty."""
-    at = F.sequence(F.lit(0), F.greatest(F.char_length(seq) - 1, F.lit(0)), F.lit(step))
-    of = F.transform(F.filter(at, lambda i: i < F.char_length(seq)), lambda i: F.struct(i.alias("at"), F.substring(seq, i + 1, F.lit(size)).alias("seq")))
-    return F.when(seq.isNotNull(), of)
+    """(at, seq) of windows of the size at every step, from position 0; the last may be short, none is empty.
+
+    Put together from pieces of `step` characters, so that work grows with the length.
+    """
+    pieces = F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    joined = lambda i: F.left(F.array_join(F.slice(pieces, i + 1, F.lit(-(-size // step))), ""), F.lit(size))
+    return F.transform(pieces, lambda _, i: F.struct((i * step).alias("at"), joined(i).alias("seq")))

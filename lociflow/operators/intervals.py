@@ -4,33 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .scans import max_before, running_sum
+from .scans import WIDTH, following, max_before, running
 
 
-def merge_islands(df: DataFrame, keys: list[str], max_gap: int = 0) -> DataFrame:
-    """Maximal unions of intervals whose gaps (start - end - 1) are at most max_gap: keys, s, e, n.
+def merge_islands(df: DataFrame, keys: list[str], max_gap: int = 0, sums: dict[str, Column] | None = None, width: int = WIDTH) -> DataFrame:
+    """Maximal unions of intervals whose gaps (start - end - 1) are at most max_gap: keys, s, e, n and the sums.
 
-    Equal intervals are counted first, so copies cost one row.
+    Equal intervals are summed up first, so copies cost one row. An island begins where no interval before
+    reaches; its end and sums are those before the next one's beginning.
     """
-    d = df.groupBy(*keys, "s", "e").agg(F.count("*").alias("k"))
-    d = max_before(d, keys, ["s", "e"], "s", F.col("e"), "pe")
-    fresh = F.when(F.col("pe").isNull() | (F.col("s") > F.col("pe") + 1 + max_gap), 1).otherwise(0)
-    d = running_sum(d, keys, ["s", "e"], "s", fresh, "island")
-    return d.groupBy(*keys, "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum("k").alias("n")).drop("island")
+    sums = {"n": F.lit(1)} | (sums or {})
+    d = df.groupBy(*keys, "s", "e").agg(*[F.sum(v).alias(f"_{n}") for n, v in sums.items()])
+    folds = {"pe": ("max", F.col("e"))} | {n: ("sum", F.col(f"_{n}")) for n in sums}
+    d = running(d, keys, ["s", "e"], "s", folds, before=True, width=width, totals=True)
+    first = d.filter(F.col("pe").isNull() | (F.col("s") > F.col("pe") + 1 + max_gap)).drop("e")
+    first = following(first, keys, "s", {"next_pe": "pe"} | {f"next_{n}": n for n in sums}, width=width)
+    of = [(F.coalesce(f"next_{n}", f"all_{n}") - F.col(n)).alias(n) for n in sums]
+    return first.select(*keys, "s", F.coalesce("next_pe", "all_pe").alias("e"), *of)
 
 
-def depth_segments(df: DataFrame, keys: list[str], sides: dict[str, Column]) -> DataFrame:
+def depth_segments(df: DataFrame, keys: list[str], sides: dict[str, Column], width: int = WIDTH) -> DataFrame:
     """Segments of constant depth: keys, s, e and a depth for each side; places without any depth are left out."""
-    up = [F.sum(F.when(c, 1).otherwise(0)).alias(n) for n, c in sides.items()]
-    starts = df.groupBy(*keys, F.col("s").alias("p")).agg(*up)
-    ends = df.groupBy(*keys, (F.col("e") + 1).alias("p")).agg(*[(-F.sum(F.when(c, 1).otherwise(0))).alias(n) for n, c in sides.items()])
-    d = starts.unionByName(ends).groupBy(*keys, "p").agg(*[F.sum(n).alias(n) for n in sides])
-    for n in sides:
-        d = running_sum(d, keys, ["p"], "p", F.col(n), f"_{n}").drop(n).withColumnRenamed(f"_{n}", n)
-    d = d.withColumn("e", F.lead("p").over(Window.partitionBy(*keys).orderBy("p")) - 1)
-    return d.filter(" or ".join(f"{n} > 0" for n in sides)).select(*keys, F.col("p").alias("s"), "e", *sides)
+    steps = F.array(*[F.struct(at.alias("p"), *[F.when(c, sign).otherwise(0).alias(n) for n, c in sides.items()]) for at, sign in ((F.col("s"), 1), (F.col("e") + 1, -1))])
+    d = df.select(*keys, F.inline(steps)).groupBy(*keys, "p").agg(*[F.sum(n).alias(f"_{n}") for n in sides])
+    d = running(d, keys, ["p"], "p", {n: ("sum", F.col(f"_{n}")) for n in sides}, before=False, width=width, next_position="q")
+    return d.filter(" or ".join(f"{n} > 0" for n in sides)).select(*keys, F.col("p").alias("s"), (F.col("q") - 1).alias("e"), *sides)
 
 
 SET_MODES = {
@@ -49,29 +48,60 @@ def set_operation(df: DataFrame, keys: list[str], ref: Column, rel: Column, mode
 
 def neither(df: DataFrame, keys: list[str]) -> DataFrame:
     """The gaps between the islands of a chromosome."""
-    d = merge_islands(df, keys, 0)
-    w = Window.partitionBy(*keys).orderBy("s")
-    return d.withColumn("next", F.lead("s").over(w)).filter("next is not null").select(*keys, (F.col("e") + 1).alias("s"), (F.col("next") - 1).alias("e"))
+    d = following(merge_islands(df, keys, 0), keys, "s", {"next": "s"})
+    return d.filter("next is not null").select(*keys, (F.col("e") + 1).alias("s"), (F.col("next") - 1).alias("e"))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, width: int = 32, flank: int = 0) -> DataFrame:
+#: Bits of position in a bin of each level: an interval lies in at most two bins of the least level that is as wide as it.
+LEVELS = range(6, 34, 3)
+
+
+def _level(s: Column, e: Column) -> Column:
+    """The least level whose bins are as wide as an interval."""
+    return F.coalesce(*[F.when(e - s < 1 << b, b) for b in LEVELS], F.lit(LEVELS[-1]))
+
+
+def levels_of(df: DataFrame, s: Column, e: Column) -> set[int]:
+    """The levels of df's intervals: one row for each of at most len(LEVELS)."""
+    return {r[0] for r in df.select(_level(s, e)).distinct().collect()}
+
+
+def overlap_join(left: DataFrame, right: DataFrame, flank: int = 0) -> DataFrame:
     """Pairs of intervals of one chromosome that overlap, right widened by flank; right's columns get r_.
 
-    Both sides are dealt to bins of positions; a pair is made only in the first bin that both have.
+    Both sides are dealt to bins of positions as wide as their intervals, or wider where the other side's
+    are: a long interval costs no more rows than a short one. A pair is made at the wider one's level, in
+    the first bin that both have there.
     """
-    l = left.withColumn("lb", F.floor(F.col("s") / width)).withColumn("bin", F.explode(F.sequence("lb", F.floor(F.col("e") / width))))
     r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn("rs", F.col("r_s") - flank).withColumn("re", F.col("r_e") + flank)
-    r = r.withColumn("rb", F.floor(F.col("rs") / width)).withColumn("r_bin", F.explode(F.sequence("rb", F.floor(F.col("re") / width))))
-    hit = (F.col("chrom") == F.col("r_chrom")) & (F.col("bin") == F.col("r_bin")) & (F.col("s") <= F.col("re")) & (F.col("e") >= F.col("rs")) & (F.col("bin") == F.greatest("lb", "rb"))
-    return l.join(r, hit).drop("bin", "lb", "rb", "r_bin", "rs", "re")
+    here, there = levels_of(left, F.col("s"), F.col("e")), levels_of(r, F.col("rs"), F.col("re"))
+
+    def bins(s: Column, e: Column, own: set[int], other: set[int]) -> Column:
+        """(level, bin, first, is own) of an interval at its own level and at wider ones of the other side."""
+        level = _level(s, e)
+        at = F.array(*[F.when((level == b) if b not in other else (level <= b), F.struct(F.lit(b).alias("level"), F.shiftright(s, b).alias("first"), F.shiftright(e, b).alias("last"), (level == b).alias("own"))) for b in sorted(own | other)])
+        each = F.transform(F.filter(at, lambda x: x.isNotNull()), lambda x: F.transform(F.sequence(x["first"], x["last"]), lambda b: F.struct(x["level"].alias("level"), b.alias("bin"), x["first"].alias("first"), x["own"].alias("own"))))
+        return F.flatten(each)
+
+    l = left.select("*", F.explode(bins(F.col("s"), F.col("e"), here, there)).alias("_l")).withColumns({"_level": F.col("_l.level"), "_bin": F.col("_l.bin")})
+    r = r.select("*", F.explode(bins(F.col("rs"), F.col("re"), there, here)).alias("_r")).withColumns({"_r_level": F.col("_r.level"), "_r_bin": F.col("_r.bin")})
+    meet = (F.col("chrom") == F.col("r_chrom")) & (F.col("_level") == F.col("_r_level")) & (F.col("_bin") == F.col("_r_bin")) & (F.col("_l.own") | F.col("_r.own"))
+    hit = meet & (F.col("s") <= F.col("re")) & (F.col("e") >= F.col("rs")) & (F.col("_bin") == F.greatest("_l.first", "_r.first"))
+    return l.join(r, hit).drop("_l", "_r", "_level", "_bin", "_r_level", "_r_bin", "rs", "re")
 
 
-def overlap_any(left: DataFrame, right: DataFrame, anti: bool = False, width: int = 32) -> DataFrame:
-    """Left rows with (or, anti, without) an overlap: right is merged first, so a hot place is a few rows."""
-    merged = merge_islands(right, ["chrom"], 0).drop("n")
-    key = ["src", "chrom", "s", "e"]
-    hit = overlap_join(left.select(*key), merged, width).select(*key).distinct()
-    return left.join(hit, key, "left_anti" if anti else "left_semi")
+def overlap_any(left: DataFrame, right: DataFrame, anti: bool = False, width: int = WIDTH) -> DataFrame:
+    """Left rows with (or, anti, without) an overlap.
+
+    One scan: of the right intervals that start by a left one's end, the furthest end reaches its start or not.
+    """
+    row = F.struct(*left.columns)
+    both = left.select("chrom", F.col("e").alias("p"), F.lit(1).alias("kind"), row.alias("row"), F.lit(None).cast("long").alias("end"))
+    ends = right.groupBy("chrom", F.col("s").alias("p")).agg(F.max("e").alias("end"))
+    both = both.unionByName(ends.select("chrom", "p", F.lit(0).alias("kind"), "end"), allowMissingColumns=True)
+    both = running(both, ["chrom"], ["p", "kind"], "p", {"far": ("max", F.col("end"))}, before=False, width=width).filter("kind = 1")
+    hit = F.coalesce(F.col("far") >= F.col("row.s"), F.lit(False))
+    return both.filter(~hit if anti else hit).select("row.*")
 
 
 def nearest_upstream(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -91,7 +121,7 @@ def _as_of(left: DataFrame, right: DataFrame, at: str, other: str, before: bool)
     sign = 1 if before else -1  # a scan over positions, or over positions backwards
     both = both.withColumn("q", F.col("p") * sign)
     both = both.withColumn("v", F.when(F.col("kind") == 1, F.col("q")))
-    both = max_before(both, ["chrom"], ["q", "kind"], "q", F.col("v"), "found", width=256)
+    both = max_before(both, ["chrom"], ["q", "kind"], "q", F.col("v"), "found")
     found = both.filter("kind = 0").select("chrom", F.col("p").alias(at), (F.col("q") - F.col("found") - 1).alias("dist"))
     return left.join(found, ["chrom", at], "left")
 
@@ -100,10 +130,10 @@ def _as_of(left: DataFrame, right: DataFrame, at: str, other: str, before: bool)
 CDS, UPSTREAM, DOWNSTREAM = 1, 16, 32
 
 
-def region_bits(left: DataFrame, right: DataFrame, flank: int) -> DataFrame:
+def region_bits(left: DataFrame, right: DataFrame, flank: int, keep: list[str] = ()) -> DataFrame:
     """(src, bits): which regions of any feature each locus touches; 0 for none."""
     pairs = overlap_join(left.select("chrom", "s", "e", "src"), right.select("chrom", "s", "e").distinct(), flank=flank)
     bits = F.when((F.col("s") <= F.col("r_e")) & (F.col("e") >= F.col("r_s")), CDS).otherwise(0)
     bits = bits.bitwiseOR(F.when(F.col("s") < F.col("r_s"), UPSTREAM).otherwise(0)).bitwiseOR(F.when(F.col("e") > F.col("r_e"), DOWNSTREAM).otherwise(0))
     found = pairs.select("src", bits.alias("b")).groupBy("src").agg(F.bit_or("b").alias("b"))
-    return left.select("src").join(found, "src", "left").select("src", F.coalesce("b", F.lit(0)).cast("int").alias("bits"))
+    return left.select("src", *keep).join(found, "src", "left").select("src", F.coalesce("b", F.lit(0)).cast("int").alias("bits"), *keep)

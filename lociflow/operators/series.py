@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Series shorter than this are not smoothed; narrowest and widest window.
+#: Series shorter than this are not smoothed; narrowest and widest window.
 LEAST, NARROW, WIDE = 10, 5, 8196
 
 
@@ -25,17 +25,20 @@ def window_mean(df: DataFrame, keys: list[str], order: list[str], value: str, wi
     per_key = Window.partitionBy(*keys)
     ordered = per_key.orderBy(*order)
     frame = ordered.rowsBetween(-(width - width // 2), width // 2 - 1)
-    df = df.withColumn("_n", F.count(F.lit(1)).over(per_key))
-    df = df.withColumn("_sum", F.sum(value).over(frame)).withColumn("_count", F.count(F.lit(1)).over(frame))
-    # A short series fits in a list of at most width values.
-    df = df.withColumn("_at", F.row_number().over(ordered)).withColumn("_all", F.when(F.col("_n") < width, F.collect_list(value).over(ordered.rowsBetween(-width, width))))
-    first = F.greatest(F.lit(1), F.col("_at") - F.expr("_n - _n div 2"))
-    last = F.least(F.col("_n"), F.col("_at") + F.expr("_n div 2") - 1)
-    part = F.slice("_all", first.cast("int"), (last - first + 1).cast("int"))
-    short = F.aggregate(part, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    df = df.withColumn("_short", short).withColumn("_size", last - first + 1)
+    df = df.withColumns({"_n": F.count(F.lit(1)).over(per_key), "_at": F.row_number().over(ordered), "_upto": F.sum(value).over(ordered), "_all": F.sum(value).over(per_key)})
+    df = df.withColumns({"_sum": F.sum(value).over(frame), "_count": F.count(F.lit(1)).over(frame)})
+    # A short series: a window of n reaches one of its ends, so its sum takes one other row's running sum.
+    half = F.expr("_n - _n div 2")
+    early = F.col("_at") <= half
+    df = df.withColumn("_look", F.when(F.col("_n") < width, F.when(early, F.least(F.col("_n"), F.col("_at") + F.expr("_n div 2") - 1)).otherwise(F.col("_at") - half - 1)))
+    sums = df.filter(F.col("_n") < width).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_at").alias("_other"), F.col("_upto").alias("_there"))
+    same = F.col("_look") == F.col("_other")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    df = df.join(sums, same, "left").withColumn("_there", F.coalesce("_there", F.lit(0)))
+    df = df.withColumns({"_short": F.when(early, F.col("_there")).otherwise(F.col("_all") - F.col("_there")), "_size": F.when(early, F.col("_look")).otherwise(F.col("_n") - F.col("_look"))})
     mean = F.when(F.col("_n") < LEAST, F.col(value)).when(F.col("_n") < width, whole("_short", "_size")).otherwise(whole("_sum", "_count"))
-    return df.withColumn(out, mean).drop("_n", "_sum", "_count", "_at", "_all", "_short", "_size")
+    return df.withColumn(out, mean).drop("_n", "_at", "_upto", "_all", "_sum", "_count", "_look", "_other", "_there", "_short", "_size", *[f"_k_{k}" for k in keys])
 
 
 def above_baseline(df: DataFrame, keys: list[str], order: list[str], value: str, width: int, out: str) -> DataFrame:

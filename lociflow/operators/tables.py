@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scans import running_sum
+from .scans import running, running_sum
 
 
 def nxx(lengths: DataFrame, points: list[int]) -> DataFrame:
@@ -16,18 +16,29 @@ def nxx(lengths: DataFrame, points: list[int]) -> DataFrame:
     """
     by_length = lengths.filter("len > 0").groupBy("len").agg(F.count("*").alias("k"))
     d = by_length.withColumn("neg", -F.col("len")).withColumn("all", F.lit(1))
-    d = running_sum(d, ["all"], ["neg"], "neg", F.col("len") * F.col("k"), "upto", width=256)
-    d = running_sum(d, ["all"], ["neg"], "neg", F.col("k"), "n", width=256)
-    total = by_length.agg(F.sum(F.col("len") * F.col("k")).alias("total"))
-    d = d.join(F.broadcast(total)).select("len", "n", "upto", "total")  # one row
+    d = running(d, ["all"], ["neg"], "neg", {"upto": ("sum", F.col("len") * F.col("k")), "n": ("sum", F.col("k"))}, before=False, totals=True).withColumnRenamed("all_upto", "total")
     d = d.withColumn("nxx", F.explode(F.array(*[F.lit(p) for p in points]))).filter(F.col("upto") * 100 >= F.col("total") * F.col("nxx"))
     return d.groupBy("nxx").agg(F.max("len").alias("length"), F.max_by("n", "len").alias("n"))
 
 
+#: Characters of a piece in which k-mers are looked up by position.
+PIECE = 128
+
+
 def kmers(texts: DataFrame, k: int, keys: list[str]) -> DataFrame:
-    """keys and every k-mer of text, in place."""
-    at = F.sequence(F.lit(1), F.char_length("text") - k + 1)
-    return texts.filter(F.char_length("text") >= k).select(*keys, "text", F.explode(at).alias("at")).select(*keys, F.substring(F.col("text"), F.col("at"), F.lit(k)).alias("kmer"))
+    """keys and every k-mer of text, in place.
+
+    A text is cut into pieces first, each with the k - 1 characters after it, so that work grows with the
+    text's length and an exploded row carries a piece, not the text.
+    """
+    size = max(PIECE, k)
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    d = texts.filter("text is not null").select(*keys, pieces.alias("pieces"))
+    wide = F.transform("pieces", lambda x, i: F.concat(x, F.coalesce(F.left(F.get("pieces", i + 1), F.lit(k - 1)), F.lit(""))))
+    d = d.select(*keys, F.explode(wide).alias("piece")).filter(F.char_length("piece") >= k)
+    # The last piece may be part of what the one before has in full.
+    last = F.least(F.char_length("piece") - k + 1, F.lit(size))
+    return d.select(*keys, "piece", F.explode(F.sequence(F.lit(1), last)).alias("at")).select(*keys, F.substring(F.col("piece"), F.col("at"), F.lit(k)).alias("kmer"))
 
 
 def kmer_counts(texts: DataFrame, k: int, keys: list[str]) -> DataFrame:
@@ -45,15 +56,16 @@ def moving_average(df: DataFrame, keys: list[str], order: list[str], value: str,
 
 
 def corrected(p: DataFrame, method: str) -> DataFrame:
-    """p (id, p) with adj: Bonferroni, Holm or Benjamini-Hochberg, each step by itself, capped at 1.
+    """p (id, p) with adj: Bonferroni, Holm or Benjamini-Hochberg, each step by itself, capped at 1; ids are numbers.
 
-    Ranks come from a running count over distinct p-values, not from one sorted partition.
+    Ranks come from a running count over distinct p-values in cells, even ones above 1/64 and ones of a sixtieth
+    of a power of e below, where p-values crowd; and, of equal p-values, over blocks of ids.
     """
-    by_p = p.groupBy("p").agg(F.count("*").alias("k")).withColumn("all", F.lit(1)).withColumn("cell", F.floor(F.col("p") * 4096))
-    by_p = running_sum(by_p, ["all"], ["p"], "cell", F.col("k"), "upto", width=1)
-    m = p.agg(F.count("*").alias("m"))
-    inner = Window.partitionBy("p").orderBy("id")
-    d = p.join(by_p.select("p", (F.col("upto") - F.col("k")).alias("before")), "p").withColumn("r", F.col("before") + F.row_number().over(inner)).join(F.broadcast(m))
+    cell = F.when(F.col("p") >= 1 / 64, F.floor(F.col("p") * 65536) + (1 << 20)).otherwise(F.floor((F.log(F.greatest("p", F.lit(5e-324))) + 745) * 60))
+    by_p = p.groupBy("p").agg(F.count("*").alias("k")).withColumn("all", F.lit(1))
+    by_p = running(by_p, ["all"], ["p"], "p", {"before": ("sum", F.col("k"))}, before=True, cell=cell, totals=True)
+    d = running_sum(p, ["p"], ["id"], "id", F.lit(1), "own", width=1 << 16)
+    d = d.join(by_p.select("p", "before", F.col("all_before").alias("m")), "p").withColumn("r", F.col("before") + F.col("own"))
     factor = {"bonferroni": F.col("m"), "holm": F.col("m") - F.col("r") + 1, "bh": F.col("m") / F.col("r")}[method]
     return d.select("id", "p", F.least(F.col("p") * factor, F.lit(1.0)).alias("adj"))
 

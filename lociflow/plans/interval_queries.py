@@ -52,10 +52,8 @@ def coverage_sweep(spark, d):
 def roi_regions(spark, d):
     """Regions with depth 3 or more, gaps of up to 4 bridged, and the bases that cover them."""
     seg = I.depth_segments(loci(spark, d), ["chrom", "flag"], {"a": F.col("strand") == "+", "b": F.col("strand") == "-"}).filter("a + b >= 3")
-    roi = I.merge_islands(seg, ["chrom", "flag"], 4).drop("n")
-    joined = I.overlap_join(roi.withColumn("chrom0", F.col("chrom")).withColumn("chrom", F.concat_ws("|", "chrom", "flag")), seg.withColumn("chrom", F.concat_ws("|", "chrom", "flag")), width=256)
-    weight = (F.col("r_a") + F.col("r_b")) * (F.col("r_e") - F.col("r_s") + 1)
-    return joined.groupBy(F.col("chrom0").alias("chrom"), "flag", "s", "e").agg(F.sum(weight).alias("bases"))
+    covering = (F.col("a") + F.col("b")) * (F.col("e") - F.col("s") + 1)
+    return I.merge_islands(seg, ["chrom", "flag"], 4, {"bases": covering}).select("chrom", "flag", "s", "e", "bases")
 
 
 _pair = "l.chrom = r.chrom AND l.s <= r.e AND l.e >= r.s"
@@ -117,8 +115,7 @@ def region_bits(spark, d):
 
 @query("region_priority_counts", with_("loci", "features", then=_bits) + " SELECT flag, CASE WHEN bits & 1 > 0 THEN 'inside' WHEN bits & 16 > 0 THEN 'upstream' WHEN bits & 32 > 0 THEN 'downstream' ELSE 'intergenic' END AS region, count(*) AS n FROM x GROUP BY ALL")
 def region_priority_counts(spark, d):
-    l = loci(spark, d)
-    b = I.region_bits(l, features(spark, d), 20).join(l.select("src", "flag"), "src")
+    b = I.region_bits(loci(spark, d), features(spark, d), 20, ["flag"])
     bit = lambda k: F.col("bits").bitwiseAND(k) > 0
     region = F.when(bit(I.CDS), "inside").when(bit(I.UPSTREAM), "upstream").when(bit(I.DOWNSTREAM), "downstream").otherwise("intergenic")
     return b.groupBy("flag", region.alias("region")).agg(F.count("*").alias("n"))
@@ -141,9 +138,9 @@ def extend_flanks(spark, d):
     return loci(spark, d).select("src", "chrom", F.greatest(F.col("s") - 10, F.lit(0)).alias("s"), (F.col("e") + 10).alias("e"))
 
 
-@query("overlap_fraction", with_("loci", "features", then=f"m AS (SELECT * FROM (WITH {islands_sql('chrom', 0, '(SELECT *, name AS src FROM features)', False)}))") + f" SELECT l.src, CAST(sum(least(l.e, r.e) - greatest(l.s, r.s) + 1) * 1000 // any_value(l.e - l.s + 1) AS BIGINT) AS permille FROM loci l JOIN m r ON {_pair} GROUP BY l.src")
+@query("overlap_fraction", with_("loci", "features", then=f"m AS (SELECT * FROM (WITH {islands_sql('chrom', 0, '(SELECT *, name AS src FROM features)', False)}))") + f" SELECT l.src, CAST(sum(least(l.e, r.e) - greatest(l.s, r.s) + 1) * 1000 // any_value(l.e - l.s + 1) AS BIGINT) AS permille FROM loci l JOIN m r ON {_pair} GROUP BY l.src, l.s, l.e")
 def overlap_fraction(spark, d):
     """Thousandths of each locus that features cover."""
     p = I.overlap_join(loci(spark, d), I.merge_islands(features(spark, d), ["chrom"], 0))
     bases = F.sum(F.least("e", "r_e") - F.greatest("s", "r_s") + 1)
-    return p.groupBy("src").agg(F.floor(bases * 1000 / F.max(F.col("e") - F.col("s") + 1)).alias("permille"))
+    return p.groupBy("src", "s", "e").agg(F.floor(bases * 1000 / F.max(F.col("e") - F.col("s") + 1)).alias("permille")).select("src", "permille")

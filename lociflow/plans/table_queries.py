@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import tables as T
+from ..operators import reads as R, tables as T
 from ..sources.adapters import loci, matrix, series, with_
 from ..sources.storage import table
 
@@ -94,10 +94,9 @@ def dedupe_exact(spark, d):
     return t.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).filter("copies > 1").drop("h")
 
 
-@query("reverse_complement", "SELECT doc_id, md5(reverse(translate(text, 'ACGTacgt', 'TGCAtgca'))) AS rc FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')")
+@query("reverse_complement", "SELECT doc_id, md5(array_to_string(list_reverse(string_split(translate(text, 'ACGTacgt', 'TGCAtgca'), '')), '')) AS rc FROM documents")
 def reverse_complement(spark, d):
-    t = table(spark, d, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*\z"))
-    return t.select("doc_id", F.md5(T.complement(F.col("text"))).alias("rc"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.complement(F.col("text"))).alias("rc"))
 
 
 @query("pivot_counts_complete", "SELECT l_suppkey AS chrom, count(*) FILTER (WHERE l_returnflag = 'A') AS a, count(*) FILTER (WHERE l_returnflag = 'N') AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS r FROM lineitem GROUP BY 1 HAVING a > 0 AND n > 0 AND r > 0")
@@ -182,9 +181,9 @@ def pearson_pairs(spark, d):
     return T.pearson(a.join(b, "col").filter("x < y"), ["x", "y"], "a", "b")
 
 
-@query("unpivot_melt", with_("matrix") + " SELECT row, col, v FROM matrix WHERE v > 200000")
+@query("unpivot_melt", with_("matrix") + " SELECT row, col, v FROM matrix")
 def unpivot_melt(spark, d):
-    return matrix(spark, d).filter("v > 200000").select("row", "col", "v")
+    return matrix(spark, d).select("row", "col", "v")
 
 
 @query("transpose_sums", with_("matrix") + " SELECT col, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, min(v) AS least, max(v) AS most FROM matrix GROUP BY col")
@@ -270,19 +269,17 @@ def ontology_closure(spark, d):
     return r.unionByName(n.select(F.col("n_name").alias("term"), F.lit(0).cast("long").alias("children"), F.coalesce("genes", F.lit(0)).alias("genes")))
 
 
-@query("phred_hist", "SELECT lang, ascii(c) AS q, count(*) AS n FROM (SELECT lang, unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' AND ascii(c) < 128 GROUP BY ALL")
+@query("phred_hist", "SELECT CAST(i - 1 AS BIGINT) AS at, unicode(c) % 41 AS q, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE length(text) > 0) GROUP BY ALL")
 def phred_hist(spark, d):
-    t = table(spark, d, "documents").select("lang", F.explode(F.split("text", "")).alias("c")).filter("c <> ''")
-    return t.groupBy("lang", F.ascii("c").alias("q")).agg(F.count("*").alias("n")).filter("q < 128")
+    """How often each offset in a read has each quality (code points mod 41)."""
+    return R.quality_histogram(table(spark, d, "documents").select(F.col("text").alias("qual")), lambda c: F.ascii(c) % 41)
 
 
-@query("prob_error_free", "SELECT doc_id, round(exp(sum(ln(1 - pow(10, -(ascii(c) % 40 + 5) / 10.0)))), 6) AS p FROM (SELECT doc_id, unnest(string_split(substr(text, 1, 30), '')) AS c FROM documents) WHERE c <> '' GROUP BY doc_id")
+@query("prob_error_free", "SELECT doc_id, round(sum(ln(1 - pow(10, -(unicode(c) % 40 + 5) / 10.0))), 4) AS log_p FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents WHERE length(text) > 0) GROUP BY doc_id")
 def prob_error_free(spark, d):
-    """Chance that the first 30 bases of a read are right, with code points as qualities (mod 40, plus 5)."""
-    q = F.filter(F.split(F.substring("text", 1, 30), ""), lambda c: c != "")
-    logs = F.transform(q, lambda c: F.log(1 - F.pow(F.lit(10.0), -(F.ascii(c) % 40 + 5) / 10.0)))
+    """Log of the chance that all bases of a read are right, with code points as qualities (mod 40, plus 5)."""
     t = table(spark, d, "documents").filter("char_length(text) > 0")
-    return t.select("doc_id", F.round(F.exp(F.aggregate(logs, F.lit(0.0), lambda a, x: a + x)), 6).alias("p"))
+    return t.select("doc_id", F.round(R.log_error_free(F.col("text"), lambda c: F.ascii(c) % 40 + 5), 4).alias("log_p"))
 
 
 @query("feature_length_quantiles", with_("features", "loci") + " SELECT flag, count(*) AS n, min(qty) AS q0, quantile_disc(qty, 0.5) AS q50, max(qty) AS q100 FROM loci GROUP BY flag")

@@ -22,9 +22,22 @@ def loci(spark: SparkSession, d: str) -> DataFrame:
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
-    """One closed interval of 30 days an order; chrom spreads the customers over 100."""
+    """One closed interval of 30 days an order; chrom spreads the customers over as many as there are suppliers."""
     start = F.datediff("o_orderdate", F.lit(EPOCH)).cast("long")
-    return table(spark, d, "orders").select((F.col("o_custkey") % 100).alias("chrom"), start.alias("s"), (start + 29).alias("e"), F.col("o_orderkey").alias("name"), F.col("o_orderpriority").alias("cls"))
+    n = table(spark, d, "supplier").count()
+    return table(spark, d, "orders").select((F.col("o_custkey") % n).alias("chrom"), start.alias("s"), (start + 29).alias("e"), F.col("o_orderkey").alias("name"), F.col("o_orderpriority").alias("cls"))
+
+
+def genes(spark: SparkSession, d: str) -> DataFrame:
+    """One gene of three exons an order, 60 days long, on both strands; each seventh has no coding span."""
+    g = features(spark, d).select("chrom", "s", (F.col("s") + 59).alias("e"), "name", "cls")
+    k, s = F.col("name") % 5, F.col("s")
+    exon = lambda a, b: F.struct(a.alias("s"), b.alias("e"))
+    coding = F.col("name") % 7 != 0
+    return g.select(
+        "*", F.when(F.col("name") % 2 == 0, "+").otherwise("-").alias("strand"), F.array(exon(s, s + 9), exon(s + 15 + k, s + 29), exon(s + 40, s + 59)).alias("exons"),
+        F.when(coding, s + 4 + k).otherwise(s).alias("ts"), F.when(coding, s + 50 - 2 * k).otherwise(s).alias("te"),
+    )
 
 
 def series(spark: SparkSession, d: str) -> DataFrame:
@@ -40,7 +53,8 @@ def matrix(spark: SparkSession, d: str) -> DataFrame:
 #: The same shapes in DuckDB.
 SQL = {
     "loci": "loci AS (SELECT l_suppkey AS chrom, s, s + qty - 1 AS e, CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS src, l_returnflag AS flag, l_partkey AS part, qty FROM (SELECT *, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS s, CAST(l_quantity AS BIGINT) AS qty FROM lineitem))",
-    "features": "features AS (SELECT o_custkey % 100 AS chrom, s, s + 29 AS e, o_orderkey AS name, o_orderpriority AS cls FROM (SELECT *, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS s FROM orders))",
+    "features": "features AS (SELECT o_custkey % (SELECT count(*) FROM supplier) AS chrom, s, s + 29 AS e, o_orderkey AS name, o_orderpriority AS cls FROM (SELECT *, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS s FROM orders))",
+    "genes": "genes AS (SELECT chrom, s, s + 59 AS e, name, cls, CASE WHEN name % 2 = 0 THEN '+' ELSE '-' END AS strand, CASE WHEN name % 7 <> 0 THEN s + 4 + name % 5 ELSE s END AS ts, CASE WHEN name % 7 <> 0 THEN s + 50 - 2 * (name % 5) ELSE s END AS te FROM features), exons AS (SELECT *, 1 AS nth, s AS xs, s + 9 AS xe, s + 15 + name % 5 AS next_s FROM genes UNION ALL SELECT *, 2, s + 15 + name % 5, s + 29, s + 40 FROM genes UNION ALL SELECT *, 3, s + 40, s + 59, NULL FROM genes)",
     "series": "series AS (SELECT user_id AS chrom, CAST(floor(epoch(ts)) AS BIGINT) AS pos, event_id, event_type, CAST(floor(value * 100) AS BIGINT) AS cents FROM events)",
     "matrix": "matrix AS (SELECT vec_id AS row, label, col - 1 AS col, CAST(floor(CAST(embedding[col] AS DOUBLE) * 1000000) AS BIGINT) AS v FROM embeddings, range(1, 65) r(col))",
 }
