@@ -21,7 +21,6 @@ stay separate documents. An empty table gives no rows.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +38,17 @@ PIECES = "range int, doc_id long, start long, length long, ids_crc32 long, doc_t
 
 def cut_costs(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """(positions, costs) of all allowed cuts of n tokens, ascending, 0 and n included."""
-    soft = np.union1d(doc_ends, sentence_ends)
-    edges = np.concatenate(([0], soft, [n]))
-    gaps = np.diff(edges)
-    long = np.flatnonzero(gaps > stride)
-    inner = np.concatenate([np.arange(edges[g] + stride, edges[g + 1], stride) for g in long] or [np.zeros(0, np.int64)])
-    at = np.unique(np.concatenate((edges, inner)))
-    cost = np.full(len(at), BREAK_COST, dtype=np.int64)
-    cost[np.isin(at, sentence_ends)] = SENTENCE_COST
-    cost[np.isin(at, doc_ends) | (at == 0) | (at == n)] = 0
-    return at, cost
+    kind = np.zeros(n + 1, dtype=np.int8)
+    kind[sentence_ends] = 1
+    kind[doc_ends] = 2
+    kind[[0, n]] = 2
+    edges = np.flatnonzero(kind)
+    # Stretches without a boundary: every stride tokens.
+    count = np.maximum(0, (np.diff(edges) - 1) // stride)
+    inner = np.repeat(edges[:-1], count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + 1) * stride
+    kind[inner] = 3
+    at = np.flatnonzero(kind)
+    return at, np.array([0, SENTENCE_COST, 0, BREAK_COST], dtype=np.int64)[kind[at]]
 
 
 def best_cuts(at: np.ndarray, cost: np.ndarray, window: int = WINDOW) -> list[int]:
@@ -56,21 +56,19 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, window: int = WINDOW) -> list[in
     p, c = at.tolist(), cost.tolist()
     n = len(p)
     best, back = [0] * n, [0] * n
-    queue: deque[int] = deque()
-    values: deque[int] = deque()
+    queue, values, head, tail = [0] * n, [0] * n, 0, 0  # the queue is queue[head:tail]
     for j in range(1, n):
         v = best[j - 1] + p[j - 1]
-        while values and values[-1] >= v:
-            values.pop()
-            queue.pop()
-        values.append(v)
-        queue.append(j - 1)
-        least = p[j] - window
-        while p[queue[0]] < least:
-            queue.popleft()
-            values.popleft()
-        best[j] = values[0] + window - p[j] + c[j]
-        back[j] = queue[0]
+        while tail > head and values[tail - 1] >= v:
+            tail -= 1
+        values[tail], queue[tail] = v, j - 1
+        tail += 1
+        here = p[j]
+        least = here - window
+        while p[queue[head]] < least:
+            head += 1
+        best[j] = values[head] + window - here + c[j]
+        back[j] = queue[head]
     # The last window costs nothing: it is cut into powers of two, or waits for the next stretch.
     reach = next(i for i in range(n) if p[n - 1] - p[i] <= window)
     back[-1] = min(range(reach, n - 1), key=best.__getitem__)

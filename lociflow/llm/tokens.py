@@ -12,7 +12,6 @@ import re
 import struct
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -22,10 +21,10 @@ from .common import spread
 #: Here for lower-case plain texts, whose letters and numbers are these.
 LETTERS, NUMBERS = "a-zªµºß-öø-ʯ", "0-9²³¹¼-¾"
 PRETOKEN = re.compile(rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
-#: A character that isn't plain.
-ODD = re.compile(r"[^\t\n\r -~¡-¬®-ʯ]")
-#: Pre-tokens in each of the two generations of a worker's memory.
-CACHE = 350_000
+#: A character that isn't plain; U+023A and U+023E are not, as their lower case lies outside of LETTERS.
+ODD = re.compile(r"[^\t\n\r -~¡-¬®-\u0239\u023b-\u023d\u023f-ʯ]")
+#: Pre-tokens that a worker remembers; beyond it starts anew.
+CACHE = 500_000
 ASCII_SPACE = re.compile(r"[ \t-\r]+")
 #: Bytes of text encoded at once.
 SLICE = 6 << 20
@@ -48,6 +47,19 @@ def encoder(path: str, kind=None) -> "ChunkEncoder":
     return _encoders[key]
 
 
+class Codes(dict):
+    """Numbers of pre-tokens in the order in which they are first asked for; new ones are noted in `fresh`."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        n = self[word] = len(self)
+        return n
+
+
 class ChunkEncoder:
     """Encodes text columns into one flat array of ids."""
 
@@ -64,8 +76,13 @@ class ChunkEncoder:
         self.words.no_padding()
         self.words.normalizer = normalizers.Sequence([])
         self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.old: dict[str, bytes] = {}
-        self.new: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Start with no known pre-token but NUL, which stands between texts and has no ids."""
+        self.codes = Codes()
+        self.codes["\0"] = 0
+        self.lengths, self.starts, self.pool = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def encode_pretokens(self, words: list[str]) -> list[bytes]:
         """Ids of each pre-token as little-endian unsigned 32-bit integers."""
@@ -89,54 +106,43 @@ class ChunkEncoder:
         """Chunks with special tokens or less common characters: the library does all of it."""
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.whole.encode_batch(chunks, add_special_tokens=False)]
 
-    def known(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct pre-tokens, from memory where possible; seldom-used ones are forgotten."""
-        old, new = self.old, self.new
-        found = [new.get(w) for w in words]
-        fresh = []
-        for i, (w, x) in enumerate(zip(words, found, strict=True)):
-            if x is None:
-                x = found[i] = old.get(w)
-                if x is None:
-                    fresh.append(i)
-                else:
-                    new[w] = x
-        if fresh:
-            fresh.sort(key=lambda i: words[i].isascii())
-            names = [words[i] for i in fresh]
-            for i, w, x in zip(fresh, names, self.encode_pretokens(names), strict=True):
-                found[i] = new[w] = x
-        if len(new) > CACHE:
-            self.old, self.new = new, {}
-        return found
-
-    def split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """(pre-tokens of each text, code of every pre-token, the distinct pre-tokens) of plain texts."""
+    def learn(self) -> None:
+        """Encode the pre-tokens that were asked for since the last call; their ids go to the end of the pool."""
+        fresh, self.codes.fresh = self.codes.fresh, []
+        if not fresh:
+            return
+        # Encoded with those alike, remembered in the order of their numbers.
+        by_kind = sorted(range(len(fresh)), key=lambda i: fresh[i].isascii())
+        data: list[bytes] = [b""] * len(fresh)
+        for i, ids in zip(by_kind, self.encode_pretokens([fresh[i] for i in by_kind]), strict=True):
+            data[i] = ids
+        lengths = np.fromiter(map(len, data), np.int64, len(data)) >> 2
+        self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(lengths) - lengths))
+        self.lengths = np.concatenate((self.lengths, lengths))
+        self.pool = np.concatenate((self.pool, np.frombuffer(b"".join(data), dtype="<u4")))
+
+    def encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each) of plain texts, which hold no NUL."""
         if not texts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), []
-        found = np.array(PRETOKEN.findall("\n\0\n".join(texts).lower()), dtype=object)
-        codes, distinct = pd.factorize(found)
-        distinct = distinct.tolist()
-        if len(texts) == 1:
-            return np.array([len(codes)]), codes, distinct
-        at = np.flatnonzero(codes == distinct.index("\0"))
-        per_text = np.diff(np.concatenate(([-1], at, [len(codes)]))) - 1
-        return per_text, np.delete(codes, at), distinct
-
-    def gathered(self, data: list[bytes], per_text: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lengths = np.array([len(x) >> 2 for x in data], dtype=np.int64)
-        pool = np.frombuffer(b"".join(data), dtype="<u4")
-        each = lengths[codes]
-        ids = pool[spread((np.cumsum(lengths) - lengths)[codes], each)]
-        ends = np.concatenate(([0], np.cumsum(each)))[np.cumsum(per_text)]
-        return ids, np.diff(ends, prepend=0)
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(self.codes) > CACHE:
+            self.forget()
+        found = PRETOKEN.findall("\n\0\n".join(texts).lower())
+        codes = np.fromiter(map(self.codes.__getitem__, found), np.int32, len(found))
+        del found
+        self.learn()
+        each = self.lengths[codes]
+        ids = self.pool[spread(self.starts[codes], each)]
+        ends = np.append(np.flatnonzero(codes == 0), len(codes))
+        total = np.concatenate(([0], np.cumsum(each)))[ends]
+        return ids, np.diff(total, prepend=0)
 
     def encode_odd(self, texts: list[str]) -> list[np.ndarray]:
         """Texts with special tokens or less common characters, by chunks between ASCII white space."""
         split = [ASCII_SPACE.split(t) for t in texts]
         distinct = list(dict.fromkeys(c for t in split for c in t if c))
         plain = [c for c in distinct if self.is_plain(c)]
-        ids, counts = self.gathered_of(plain)
+        ids, counts = self.encode_plain(plain)
         data = dict(zip(plain, np.split(ids, np.cumsum(counts)[:-1]), strict=True)) if plain else {}
         rest = [c for c in distinct if c not in data]
         data.update(zip(rest, (np.frombuffer(x, "<u4") for x in self.encode_rest(rest)), strict=True))
@@ -145,15 +151,11 @@ class ChunkEncoder:
     def is_plain(self, text: str) -> bool:
         return "\0" not in text and "<|" not in text and ODD.search(text) is None
 
-    def gathered_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        per_text, codes, distinct = self.split(texts)
-        return self.gathered(self.known([w if w != "\0" else "0" for w in distinct]), per_text, codes)
-
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts as uint32, number of ids of each text)."""
         texts = pc.fill_null(column, "").to_pylist()
         plain = [self.is_plain(t) for t in texts]
-        ids, counts = self.gathered_of([t for t, p in zip(texts, plain, strict=True) if p])
+        ids, counts = self.encode_plain([t for t, p in zip(texts, plain, strict=True) if p])
         if all(plain):
             return ids, counts
         odd = iter(self.encode_odd([t for t, p in zip(texts, plain, strict=True) if not p]))
