@@ -58,6 +58,16 @@ def following(df: DataFrame, keys: list[str], position: str, columns: dict[str,
     return out.withColumns({n: F.coalesce(F.col(f"_next.{c}"), F.col(f"_after.{c}")) for n, c in columns.items()}).drop("_block", "_next", "_after")
 
 
+def haloed(df: DataFrame, position: str, reach: int, width: int = WIDTH) -> DataFrame:
+    """df with _block and _own: each row in its block of positions and, not as its own, in those that `reach` comes to.
+
+    What a row within reach of others needs is then in its own block: windows go by block, not by chromosome.
+    """
+    width = max(width, 4 * reach)
+    near = F.sequence(F.floor((F.col(position) - reach) / width), F.floor((F.col(position) + reach) / width))
+    return df.withColumn("_block", F.explode(near)).withColumn("_own", F.col("_block") == F.floor(F.col(position) / width))
+
+
 def running_sum(df: DataFrame, keys: list[str], order: list[str], position: str, value: Column, out: str, width: int = WIDTH, cell: Column | None = None) -> DataFrame:
     return running(df, keys, order, position, {out: ("sum", value)}, False, width, cell)
 

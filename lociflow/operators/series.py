@@ -81,3 +81,53 @@ def filled_calls(df: DataFrame, keys: list[str], bin_: str, call: str, out: str)
     ordered = Window.partitionBy(*keys).orderBy(bin_)
     left, right = F.lag(call).over(ordered), F.lead(call).over(ordered)
     return df.withColumn(out, F.coalesce(call, F.when(F.col(bin_) % 2 != 0, F.coalesce(left, right)).otherwise(F.coalesce(right, left))))
+
+
+def band_pairs(left: DataFrame, right: DataFrame, keys: list[str], position: str, reach: int) -> DataFrame:
+    """Pairs of rows of the same keys no further than `reach` apart; right's other columns get r_, and distance is right's place less left's."""
+    width = max(reach, 1)
+    l = left.withColumn("_bin", F.floor(F.col(position) / width))
+    r = right.select(*keys, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys])
+    r = r.withColumn("_at", F.floor(F.col(f"r_{position}") / width)).withColumn("_bin", F.explode(F.sequence(F.col("_at") - 1, F.col("_at") + 1))).drop("_at")
+    distance = F.col(f"r_{position}") - F.col(position)
+    return l.join(r, [*keys, "_bin"]).withColumn("distance", distance).filter(F.abs("distance") <= reach).drop("_bin")
+
+
+def matched_points(left: DataFrame, right: DataFrame, key: str, position: str, reach: int) -> DataFrame:
+    """(key, a, b) of a one-to-one match of two sets of points: in order, each with the first free one no further than `reach`.
+
+    Where there is a gap of more than `reach` no match can cross, so each stretch between gaps goes through on its own.
+    """
+    from collections import deque
+
+    import pandas as pd
+
+    from .scans import running
+
+    both = left.select(key, position, F.lit(0).alias("side")).unionByName(right.select(key, position, F.lit(1).alias("side")))
+    c = both.groupBy(key, position, "side").agg(F.count("*").alias("n"))
+    c = running(c, [key], [position, "side"], position, {"_last": ("max", F.col(position))}, before=True)
+    c = running(c, [key], [position, "side"], position, {"_run": ("sum", F.when(F.col("_last").isNull() | (F.col(position) - F.col("_last") > reach), 1).otherwise(0))}, before=False)
+
+    def match(batches):
+        name, waiting = None, (deque(), deque())
+        for pdf in batches:
+            rows = []
+            for k, at, side, n in pdf.itertuples(index=False, name=None):
+                if k != name:
+                    name, waiting = k, (deque(), deque())
+                for _ in range(n):
+                    other = waiting[1 - side]
+                    while other and other[0] < at - reach:
+                        other.popleft()
+                    if other:
+                        p = other.popleft()
+                        rows.append((k, at, p) if side == 0 else (k, p, at))
+                    else:
+                        waiting[side].append(at)
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "a", "b"])
+
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = c.repartition(parts, key, "_run").sortWithinPartitions(key, position, "side").select(key, position, "side", "n")
+    return sent.mapInPandas(match, f"{key} {dict(left.dtypes)[key]}, a bigint, b bigint")
