@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,7 +85,7 @@ def bootstrap_pearson(df: DataFrame, key: str, x: str, y: str, rounds: int = 200
         name = pdf[key].iloc[0]
         pdf = pdf.sort_values([x, y])
         a, b = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
-        rng = np.random.default_rng([seed, abs(hash(str(name))) % (1 << 31) if not isinstance(name, (int, np.integer)) else int(name) % (1 << 31)])
+        rng = np.random.default_rng([seed, zlib.crc32(str(name).encode())])
         draws = np.sort([_pearson_of(rng.poisson(a).astype(float), rng.poisson(b).astype(float)) for _ in range(rounds)])
         low, median, high = np.quantile(draws, [0.025, 0.5, 0.975])
         return pd.DataFrame({key: [name], "r": [_pearson_of(a, b)], "low": [low], "median": [median], "high": [high]})
