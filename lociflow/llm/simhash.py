@@ -12,13 +12,16 @@ anchors, and each anchor passes on a spanning forest of its links rather than al
 Equal fingerprints are one class before anything is replicated, so groups of copies cost one entry.
 The classes' components come from star contractions over the links.
 
-Near groups (pipeline) also link texts by their sets of five-word shingles: sets that are alike meet, but for a
-chance of 5e-8 a pair, at a band key of their least hashes in seeded orders (MinHash), and are then compared whole.
-Only texts of equal sets stand for one another there.
-
-Nulls: a null text has no words and fingerprint zero, which links like any other. A null doc_id sorts
-before all others and shows as null. Rows that share a doc_id are one document as far as links go. An
-empty table gives no rows; long texts are taken whole; other columns are not looked at.
+Near groups (pipeline) also link texts by their sets of five-word shingles. No threshold of bits finds these: at a
+similarity of 0.8 fingerprints differ in 10 bits of 64 on average and in 20 now and then, and anchors that cover 20
+bits hold nearly every text. So alike sets meet, but for a chance of 5e-8 a pair, at a band key of their least hashes in
+seeded orders (MinHash). Where they meet, parity maps tell at once most pairs that cannot be alike, and the others
+are compared whole. Only texts of equal sets stand for one another there.
+
+Nulls: a null text has no words and fingerprint zero, which links like any other; it has no shingles and links
+to nothing by them. A null doc_id sorts before all others and shows as null. Rows that share a doc_id are one
+document as far as links go; the pipeline's stage keeps all rows of a doc_id that stays. Ties fall to the smallest doc_id. An
+empty table gives no rows; long texts are taken whole; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +41,11 @@ NO_DOC = -(1 << 63)
 BANDS, BAND_ROWS = 32, 4
 #: One order of the hashes a row: odd multipliers and summands.
 TIMES, PLUS = (np.array([[xxhash.xxh64_intdigest(b"%d" % i, seed) | 1] for i in range(BANDS * BAND_ROWS)], dtype=np.uint64) for seed in (1, 2))
-MEETING = "key long, node long, c long, doc long"
+#: Texts of a key that are compared with all others there, in the first round; so many times more in each later one, up to MOST_LEADERS.
+LEADERS, MORE, MOST_LEADERS = 1, 64, 4096
+#: 64-bit words of a set's parity map.
+MAP = [f"m{i}" for i in range(16)]
+MARKS = "doc_id long, fp long, c long, n long, bands array<long>, " + ", ".join(f"{m} long" for m in MAP)
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -143,22 +150,24 @@ def anchor_links(fp: np.ndarray, node: np.ndarray, home: np.ndarray, ends: np.nd
 
 def whole_groups(batches, columns: list[str], keys: int):
     """(the columns' arrays, where each group ends), by whole groups of rows that come sorted by the first keys columns."""
-    held = None
-    for batch in _with_end(batches):
-        if batch is not None and batch.num_rows == 0:
-            continue
-        if batch is not None:
-            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in columns]
-            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-        if held is None:
+    held: list[list[np.ndarray]] = []  # of the group that is still open, batch by batch
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        ends = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in held[:keys]])) + 1
-        ends = np.append(ends, len(held[0])) if batch is None else ends
-        if not len(ends):
+        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in columns]
+        differs = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in now[:keys]])) + 1
+        goes_on = bool(held) and all(x[0] == y[-1] for x, y in zip(now[:keys], held[-1][:keys], strict=True))
+        cuts = differs if goes_on or not held else np.concatenate(([0], differs))
+        if not len(cuts):
+            held.append(now)
             continue
-        k = ends[-1]
-        yield [x[:k] for x in held], ends
-        held = [x[k:] for x in held]
+        k = cuts[-1]
+        done = [np.concatenate(x) for x in zip(*held, [x[:k] for x in now], strict=True)]
+        yield done, cuts + (len(done[0]) - k)
+        held = [[x[k:] for x in now]]
+    if held:
+        done = [np.concatenate(x) for x in zip(*held, strict=True)]
+        yield done, np.array([len(done[0])])
 
 
 def links(classes: DataFrame, most_bits: int) -> DataFrame:
@@ -183,11 +192,6 @@ def links(classes: DataFrame, most_bits: int) -> DataFrame:
     return met.mapInArrow(lean(compare), "a long, b long").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _with_end(batches):
-    yield from batches
-    yield None
-
-
 def named_fingerprints(fps: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """(fp, component) of every fingerprint of (doc_id, fp); a component of null documents is NO_DOC."""
     classes = written(fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_DOC))).alias("node")), "classes")
@@ -219,42 +223,57 @@ def set_class(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
 
 
+def parity_map(hashes: np.ndarray) -> np.ndarray:
+    """One bit for each remainder of the hashes: whether an odd number of them has it.
+
+    Each hash that only one of two sets holds changes one bit, so maps differ in no more bits than sets in hashes.
+    """
+    odd = np.bincount((hashes % np.uint64(64 * len(MAP))).astype(np.int64), minlength=64 * len(MAP)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp, c, bands) of every text: its fingerprint, and the class and band keys of its set of shingles, if it has any."""
+    """(doc_id, fp, c, n, bands, MAP) of every text: its fingerprint, and the class, size, band keys and parity map of its set of shingles, if it has any."""
 
     def compute(batches):
         for batch in slices(batches, "text", 8 << 20):
-            out = {"fp": [], "c": [], "bands": []}
+            fp, c, n, bands, maps = [], [], [], [], []
             for t in batch.column("text").to_pylist():
                 s = np.unique(shingle_hashes(t, words))
-                out["fp"].append(fingerprint(shingle_hashes(t, WORDS)))
-                out["c"].append(set_class(s) if len(s) else None)
-                out["bands"].append(band_keys(s).tobytes() if len(s) else None)
-            fp = np.array(out["fp"], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(fp), "c": pa.array(out["c"], pa.int64()), "bands": pa.array(out["bands"], pa.binary())})
+                fp.append(fingerprint(shingle_hashes(t, WORDS)))
+                c.append(set_class(s) if len(s) else None)
+                n.append(len(s))
+                bands.append(band_keys(s).view(np.int64) if len(s) else None)
+                maps.append(parity_map(s))
+            maps = np.array(maps).T
+            out = {"doc_id": batch.column("doc_id"), "fp": pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), "c": pa.array(c, pa.int64()), "n": pa.array(n, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_pydict(out | {m: pa.array(np.ascontiguousarray(x)) for m, x in zip(MAP, maps, strict=True)})
 
-    return narrow(docs).mapInArrow(lean(compute), "doc_id long, fp long, c long, bands binary")
+    return narrow(docs).mapInArrow(lean(compute), MARKS)
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(c, s): class and distinct shingle hashes of every text, ascending, as bytes."""
+    """(c, s): class and distinct shingle hashes of every text, ascending as unsigned numbers."""
 
     def compute(batches):
         for batch in slices(batches, "text", 8 << 20):
             s = [np.unique(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"c": pa.array([set_class(x) for x in s], pa.int64()), "s": pa.array([x.tobytes() for x in s], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"c": pa.array([set_class(x) for x in s], pa.int64()), "s": pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64()))})
 
-    return narrow(docs).mapInArrow(lean(compute), "c long, s binary")
+    return narrow(docs).mapInArrow(lean(compute), "c long, s array<long>")
 
 
 def alike(pairs: DataFrame, similarity: float) -> DataFrame:
     """Those of (a, b, sa, sb) whose shingle sets have at least that Jaccard similarity."""
 
+    def lists(column: pa.ListArray) -> list[np.ndarray]:
+        flat, edges = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy().tolist()
+        return [flat[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
+
     def verify(batches):
         for batch in batches:
             good = []
-            for sa, sb in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
+            for x, y in zip(lists(batch.column("sa")), lists(batch.column("sb")), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both >= similarity * (len(x) + len(y) - both) and both > 0)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -263,50 +282,36 @@ def alike(pairs: DataFrame, similarity: float) -> DataFrame:
 
 
 def meetings(classes: DataFrame) -> DataFrame:
-    """(key, node, c, doc) of the classes (c, doc, node, bands) at every band key that two nodes share."""
-
-    def emit(batches):
-        for batch in batches:
-            keys = [np.frombuffer(x, np.int64) for x in batch.column("bands").to_pylist()]
-            for at in range(0, len(keys), 4096):
-                many = lambda k: pa.array(np.repeat(batch.column(k).to_numpy(zero_copy_only=False)[at : at + 4096], BANDS))  # noqa: B023, E731
-                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys[at : at + 4096])), "node": many("node"), "c": many("c"), "doc": many("doc")})
+    """(key, node, c, n, MAP) of the classes (c, node, n, MAP, bands) at every band key that two nodes share.
 
-    def shared(batches):
-        for (key, node, c, doc), ends in whole_groups(batches, ["key", "node", "c", "doc"], 1):
-            starts = np.concatenate(([0], ends[:-1]))
-            many = np.repeat(node[starts] != node[ends - 1], ends - starts)
-            if many.any():
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key[many]), "node": pa.array(node[many]), "c": pa.array(c[many]), "doc": pa.array(doc[many])})
-
-    return _by_key(classes.mapInArrow(lean(emit), MEETING)).mapInArrow(lean(shared), MEETING)
+    Keys are met by names alone; only the rows that stay get their maps.
+    """
+    met = shared(classes.select(F.explode("bands").alias("key"), "node", "c"))
+    return met.join(classes.select("c", "n", *MAP), "c")
 
 
-def _by_key(met: DataFrame) -> DataFrame:
-    return met.repartition(parts(met.sparkSession), "key").sortWithinPartitions("key", "node", "c")
+def shared(met: DataFrame) -> DataFrame:
+    """The rows of met at keys that hold two nodes at least."""
+    keys = met.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key")
+    return met.join(keys, "key", "left_semi")
 
 
-def candidates(met: DataFrame, every: bool) -> DataFrame:
-    """(a, b, ca, cb): nodes and classes of pairs that meet at a key and have different nodes: those with the key's first, or every pair."""
+def led(met: DataFrame, leaders: int) -> DataFrame:
+    """The rows of up to `leaders` texts of each key, the least of each salt; their columns get l_."""
+    salt = F.pmod(F.xxhash64("c", "key"), F.lit(leaders)).alias("salt")
+    first = met.groupBy("key", salt).agg(F.min(F.struct(*[F.col(x).alias(f"l_{x}") for x in ("c", "node", "n", *MAP)])).alias("first"))
+    return first.select(F.col("key").alias("l_key"), "first.*")
 
-    def pairs(batches):
-        for (_, node, c), ends in whole_groups(batches, ["key", "node", "c"], 1):
-            starts = np.concatenate(([0], ends[:-1]))
-            if not every:
-                i, j = np.repeat(starts, ends - starts), np.arange(len(node))
-                yield from put(node, c, i[node[i] != node[j]], j[node[i] != node[j]])
-                continue
-            for g in np.flatnonzero(node[starts] != node[ends - 1]).tolist():
-                n = node[starts[g] : ends[g]]
-                for at in range(0, len(n), 256):
-                    i, j = np.nonzero(n[at : at + 256, None] < n[None, at:])
-                    yield from put(node, c, starts[g] + at + i, starts[g] + at + j)
 
-    def put(node, c, i, j):
-        if len(i):
-            yield pa.RecordBatch.from_pydict({"a": pa.array(node[i]), "b": pa.array(node[j]), "ca": pa.array(c[i]), "cb": pa.array(c[j])})
+def candidates(met: DataFrame, leaders: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, ca, cb): nodes and classes of every leader and every text of another node at its key.
 
-    return _by_key(met.select("key", "node", "c")).mapInArrow(lean(pairs), "a long, b long, ca long, cb long").distinct()
+    Left out are pairs whose parity maps differ in more bits than the sets of a pair that is alike can in hashes.
+    """
+    apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"l_{m}"))) for m in MAP[1:]), F.bit_count(F.col(MAP[0]).bitwiseXOR(F.col(f"l_{MAP[0]}"))))
+    may = apart * (1 + similarity) <= (F.col("n") + F.col("l_n")) * (1 - similarity) + 1e-6
+    pairs = met.join(leaders, (F.col("key") == F.col("l_key")) & (F.col("node") != F.col("l_node")) & may)
+    return pairs.select(F.col("l_node").alias("a"), F.col("node").alias("b"), F.col("l_c").alias("ca"), F.col("c").alias("cb")).distinct()
 
 
 def relabelled(df: DataFrame, column: str, found: DataFrame) -> DataFrame:
@@ -318,34 +323,42 @@ def relabelled(df: DataFrame, column: str, found: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, group) of every document: near copies of at least that similarity share the smallest doc_id.
 
-    Fingerprints within MOST_BITS are one group. Texts of different groups are compared where they share a
-    band key, and are linked if their shingle sets are alike: first with the first text at each key, then,
-    where groups are still apart, every text with every other.
+    Fingerprints within MOST_BITS are one group. Texts of different groups meet at band keys and are linked if
+    their shingle sets are alike. In each round a key's leaders are compared with its texts of other groups, and
+    have then done; what they link becomes one group, which has no more to compare within. Rounds go on until
+    no key holds two groups: no pair is left out, and a group of near copies costs about its size.
     """
     marks = written(signatures(docs, words), "signatures")
     known = F.coalesce("doc_id", F.lit(NO_DOC))
     named = written(named_fingerprints(marks.select("doc_id", "fp")), "tight")
-    texts = marks.filter("c is not null").groupBy("fp", "c").agg(F.min(known).alias("doc"), F.min("bands").alias("bands"))
-    texts = written(texts.join(named, "fp").select("c", "doc", "component", "bands"), "texts")
-    classes = written(texts.groupBy("c").agg(F.min("component").alias("node"), F.min("doc").alias("doc"), F.min("bands").alias("bands")), "text_classes")
-    equal = texts.join(classes.select("c", "node"), "c").filter("component <> node").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    least = [F.min(x).alias(x) for x in ("n", *MAP)]  # the same in all texts of a class
+    texts = marks.filter("c is not null").groupBy("fp", "c").agg(F.min(known).alias("doc"), F.min("bands").alias("bands"), *least)
+    texts = written(texts.join(named, "fp").drop("fp"), "texts")
+    classes = written(texts.groupBy("c").agg(F.min("component").alias("node"), F.min("doc").alias("doc"), F.min("bands").alias("bands"), *least), "text_classes")
+    good = texts.join(classes.select("c", "node"), "c").filter("component <> node").select(F.col("component").alias("a"), F.col("node").alias("b"))
     met = written(meetings(classes), "meetings")
-    base = narrow(docs).select(known.alias("doc_id"), "text").join(met.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = written(shingle_sets(base, words), "shingles").groupBy("c").agg(F.min("s").alias("s"))
-    for every in (False, True):
-        pairs = written(candidates(met, every), "pairs")
+    asked = classes.join(met.select("c").distinct(), "c", "left_semi").select(F.col("doc").alias("doc_id")).distinct()
+    base = narrow(docs).select(known.alias("doc_id"), "text").join(asked, "doc_id", "left_semi")
+    sets = written(shingle_sets(base, words).groupBy("c").agg(F.min("s").alias("s")), "shingles")
+    leaders = LEADERS
+    while not met.isEmpty():
+        lead = written(led(met, leaders), "leaders")
+        pairs = written(candidates(met, lead, similarity), "pairs")
         put = pairs.join(sets.select(F.col("c").alias("ca"), F.col("s").alias("sa")), "ca").join(sets.select(F.col("c").alias("cb"), F.col("s").alias("sb")), "cb")
-        good = alike(put.select("a", "b", "sa", "sb"), similarity)
-        found = connected_components(good if every else good.unionByName(equal))
-        named, met = relabelled(named, "component", found), relabelled(met, "node", found)
-    return marks.join(named, "fp").select(known.alias("doc_id"), F.col("component").alias("group"))
+        found = written(alike(put.select("a", "b", "sa", "sb"), similarity).distinct(), "alike")
+        good = good.unionByName(found)
+        left = met.join(lead.select(F.col("l_key").alias("key"), F.col("l_c").alias("c")), ["key", "c"], "left_anti")
+        if not found.isEmpty():
+            left = relabelled(left, "node", connected_components(found))
+        met = written(shared(left.select(met.columns)), "meetings")
+        leaders = min(leaders * MORE, MOST_LEADERS)
+    return marks.join(relabelled(named, "component", connected_components(good)), "fp").select(known.alias("doc_id"), F.col("component").alias("group"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are the first of their group of near copies."""
-    groups = near_groups(docs)
-    keep = groups.filter("doc_id = group").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.coalesce(F.col("doc_id"), F.lit(NO_DOC)) == F.col("_keep"), "left_semi")
+    """The rows of docs that are the first of their group of near copies; all columns stay."""
+    keep = near_groups(docs).filter("doc_id = group").select(F.col("doc_id").alias("keep")).distinct()
+    return docs.join(keep, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_DOC)) == keep["keep"], "left_semi")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
