@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import written
+from ..sources.storage import discard, written
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # Small star: u and its smaller neighbours go to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(low, large["a"] == low["u"]).select(F.when(F.col("b") == F.col("m"), F.col("u")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        now = written(small.filter("a > b").distinct(), "edges")
+        before, now = now, written(small.filter("a > b").distinct(), "edges")
+        discard(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break

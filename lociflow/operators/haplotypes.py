@@ -107,15 +107,18 @@ def called_segments(bins: DataFrame, least: int, share: float) -> DataFrame:
     return called.withColumn("_run", run).groupBy("chrom", "founder", "_run").agg(F.min("bin").alias("s"), F.max("bin").alias("e")).drop("_run")
 
 
-def specific_alleles(counts: DataFrame, least: int, share: float) -> DataFrame:
-    """(chrom, locus, species, base) where a species' base has at least `least` reads and, with one more, `share` of its reads, and no other species' major base is the same.
+def specific_alleles(counts: DataFrame, least: int, share: float, other_most: int) -> DataFrame:
+    """(chrom, locus, species, base): the most frequent base of a species that tells it from all others there.
 
-    counts: chrom, locus, species, base, n.
+    It has at least `least` reads and, with one more, `share` of the species' reads, while every other species has
+    fewer than other_most reads of it. counts: chrom, locus, species, base, n.
     """
-    per = counts.groupBy("chrom", "locus", "species").agg(F.sum("n").alias("all"), F.max(F.struct("n", "base")).alias("m"))
+    c = counts.groupBy("chrom", "locus", "species", "base").agg(F.sum("n").alias("n"))
+    per = c.groupBy("chrom", "locus", "species").agg(F.sum("n").alias("all"), F.max(F.struct("n", "base")).alias("m"))
     major = per.filter((F.col("m.n") >= least) & ((F.col("m.n") + 1) / F.col("all") >= share)).select("chrom", "locus", "species", F.col("m.base").alias("base"))
-    alone = major.groupBy("chrom", "locus", "base").agg(F.count("*").alias("k"), F.min("species").alias("species")).filter("k = 1")
-    return alone.select("chrom", "locus", "species", "base")
+    other = c.filter(F.col("n") >= other_most).select("chrom", "locus", "base", F.col("species").alias("_other"))
+    same = [F.col(f"m.{k}") == F.col(f"o.{k}") for k in ("chrom", "locus", "base")]
+    return major.alias("m").join(other.alias("o"), [*same, F.col("species") != F.col("_other")], "left_anti")
 
 
 def shared_sites(sites: DataFrame) -> DataFrame:

@@ -180,11 +180,11 @@ def called_segments(spark, d):
 
 @query(
     "specific_alleles",
-    with_("loci") + ", c AS (SELECT chrom, s // 20 AS locus, flag AS species, CAST(qty % 4 AS BIGINT) AS base, count(*) AS n FROM loci GROUP BY ALL), t AS (SELECT chrom, locus, species, sum(n) AS al, max(n) AS m, max_by(base, (n, base)) AS base FROM c GROUP BY ALL), j AS (SELECT * FROM t WHERE m >= 2 AND (m + 1) / al >= 0.6) SELECT chrom, locus, min(species) AS species, base FROM j GROUP BY chrom, locus, base HAVING count(*) = 1",
+    with_("loci") + ", c AS (SELECT chrom, s // 20 AS locus, flag AS species, CAST(qty % 4 AS BIGINT) AS base, count(*) AS n FROM loci GROUP BY ALL), t AS (SELECT chrom, locus, species, sum(n) AS al, max(n) AS m, max_by(base, (n, base)) AS base FROM c GROUP BY ALL) SELECT chrom, locus, species, base FROM t WHERE m >= 2 AND (m + 1) / al >= 0.6 AND NOT EXISTS (SELECT 1 FROM c WHERE c.chrom = t.chrom AND c.locus = t.locus AND c.base = t.base AND c.species <> t.species AND c.n >= 2)",
 )
 def specific_alleles(spark, d):
     c = loci(spark, d).groupBy("chrom", F.floor(F.col("s") / 20).alias("locus"), F.col("flag").alias("species"), (F.col("qty") % 4).alias("base")).agg(F.count("*").alias("n"))
-    return H.specific_alleles(c, 2, 0.6)
+    return H.specific_alleles(c, 2, 0.6, 2)
 
 
 @query("best_founders", with_("loci") + " SELECT part AS progeny, chrom AS founder, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY score DESC, chrom) AS rank FROM (SELECT part, chrom, CAST(sum(qty) AS BIGINT) AS score FROM loci GROUP BY ALL)) WHERE rank <= 2")

@@ -37,7 +37,7 @@ def names(spark, d):
     return table(spark, d, "part").groupBy(F.col("p_name").alias("seq")).agg(F.min("p_partkey").alias("id")).select("id", "seq")
 
 
-_turns = "turns AS (SELECT conv_id * 1000 + turn AS id, text AS seq FROM conversations), probes AS (SELECT item_id AS id, substr(text, 1, 16) AS seq FROM benchmark)"
+_turns = "turns AS (SELECT conv_id * 1000 + turn AS id, text AS seq FROM conversations), probes AS (SELECT item_id AS id, substr(text, 1, 9) AS seq FROM benchmark)"
 _names = "names AS (SELECT min(p_partkey) AS id, p_name AS seq FROM part GROUP BY p_name)"
 
 
@@ -64,11 +64,11 @@ def subs_sql(a: str, b: str, n: str) -> str:
     return f"CASE WHEN strlen({a}) = {n} AND strlen({b}) = {n} THEN hamming({a}, {b}) ELSE list_sum(list_transform(range(1, {n} + 1), lambda i: (substr({a}, i, 1) <> substr({b}, i, 1))::INT)) END"
 
 
-_near = f"WITH {_turns}, w AS (SELECT id AS target, i AS at_, substr(seq, i + 1, 16) AS win FROM (SELECT id, seq, unnest(range(0, length(seq) - 15)) AS i FROM turns)), h AS (SELECT * FROM (SELECT p.id, target, at_, {subs_sql('win', 'p.seq', '16')} AS subs FROM w, probes p WHERE length(p.seq) = 16) WHERE subs <= 4)"
+_near = f"WITH {_turns}, w AS (SELECT id AS target, i AS at_, substr(seq, i + 1, 9) AS win FROM (SELECT id, seq, unnest(range(0, length(seq) - 8)) AS i FROM turns)), h AS (SELECT * FROM (SELECT p.id, target, at_, {subs_sql('win', 'p.seq', '9')} AS subs FROM w, probes p WHERE length(p.seq) = 9) WHERE subs <= 2)"
 
 
 def _found(spark, d):
-    return S.near_hits(probes(spark, d), turns(spark, d), 16, 4)
+    return S.near_hits(probes(spark, d, 9), turns(spark, d), 9, 2)
 
 
 @query("near_hits", _near + " SELECT id, target, at_ AS at, CAST(subs AS INTEGER) AS subs FROM h")
