@@ -121,8 +121,8 @@ def test_op4(spark, table):
     assert out.component_id.tolist() == label.tolist()
 
 
-@pytest.mark.parametrize("most_bits, wide", [(3, False), (7, False), (11, True)])
-def test_anchors_meet(most_bits, wide):
+@pytest.mark.parametrize("most_bits", [3, 7])
+def test_anchors_meet(most_bits):
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 200).astype(np.uint64)
     y = x.copy()
@@ -132,8 +132,8 @@ def test_anchors_meet(most_bits, wide):
     sets = []
     for f in (x, y):
         s = [set() for _ in f]
-        for row, block, anchor, home in zip(*simhash.replicate(f, most_bits, 2 if wide else 1), strict=True):
-            if wide or home or f is x:
+        for row, block, anchor, home in zip(*simhash.replicate(f, most_bits), strict=True):
+            if home or f is x:
                 s[row].add((block, anchor))
         sets.append(s)
     assert all(a & b for a, b in zip(*sets, strict=True))
@@ -220,7 +220,7 @@ def test_op9(spark, table):
 
 def test_op9_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
-    labels = spark.read.parquet(f"{d}/labels.parquet").limit(1500)
+    labels = spark.read.parquet(f"{d}/labels.parquet")
     docs = spark.read.parquet(f"{d}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
     out = toxicity.scored(docs, toxicity.fit(docs, labels)).filter("held_out").toPandas().merge(labels.toPandas(), on="doc_id")
     said, true = out.score >= toxicity.THRESHOLD, out.toxic == 1
@@ -242,13 +242,149 @@ def test_empty_table(spark, tmp_path, name):
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
 
 
-@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n != "op2_neighbours"])
-def test_null_ids_and_repeated_rows(spark, tmp_path, name):
-    long = " ".join(f"word{i}" for i in range(40))
-    rows = [(None, long), (None, None), (4, long), (4, long), (5, "other"), (5, "")]
-    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(4, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    assert queries.QUERIES[name](spark, str(tmp_path)).count() >= 6
+LONG = " ".join(f"word{i}" for i in range(40))
+
+
+@pytest.fixture(scope="module")
+def odd_rows(spark, tmp_path_factory):
+    """Null ids, null and empty texts, repeated rows, rows that share a doc_id, and columns whose names operators use."""
+    d = tmp_path_factory.mktemp("odd")
+    rows = [(None, LONG), (None, None), (4, LONG), (4, LONG), (5, "other"), (5, "")]
+    clash = "gone keep t t1 h1 fp key node c to id start copy part path range local rank digest".split()
+    spark.createDataFrame([(*r, *range(len(clash))) for r in rows], "doc_id long, text string, " + ", ".join(f"{c} int" for c in clash)).coalesce(1).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(4, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return str(d), rows
+
+
+def values(df, *columns):
+    return sorted([tuple(r[c] for c in columns) for r in df.collect()], key=repr)
+
+
+def test_odd_rows_op1_op10(spark, odd_rows, library):
+    d, rows = odd_rows
+    ids = [(i, np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4")) for i, t in rows]
+    end = np.array([1], "<u4")
+    assert values(token_files.op1_token_files(spark, d), "doc_id", "n_tokens", "ids_crc32") == sorted([(i, len(x) + 1, zlib.crc32(x.tobytes() + end.tobytes())) for i, x in ids], key=repr)
+    starts = sorted(values(token_files.op1_token_files(spark, d), "start", "n_tokens"))
+    assert [s for s, _ in starts] == np.cumsum([0] + [n for _, n in starts[:-1]]).tolist()
+    assert values(bpe.op10_bpe(spark, d), "doc_id", "n_tokens", "ids_sha256") == sorted([(i, len(x), hashlib.sha256(x.tobytes()).hexdigest()) for i, x in ids], key=repr)
+
+
+def test_odd_rows_op3(spark, odd_rows):
+    d, rows = odd_rows
+    # Null counts as the smallest doc_id: it keeps the text, both rows of 4 lose theirs.
+    n = len(LONG)
+    gone = lambda i, t: len(t or "") if i == 4 else 0
+    assert n >= 50
+    want = sorted([(i, len(t or ""), gone(i, t), int(gone(i, t) > 0)) for i, t in rows], key=repr)
+    assert values(suffix_dedup.op3_suffix_dedup(spark, d), "doc_id", "n_bytes", "n_removed", "n_spans") == want
+
+
+def test_odd_rows_op4(spark, odd_rows):
+    d, rows = odd_rows
+    out = values(simhash.op4_simhash(spark, d), "doc_id", "component_id")
+    # 4 and null share LONG; null's other row and 5's empty one have fingerprint zero; rows of one id are one document.
+    assert out == sorted([(i, None) for i, _ in rows], key=repr) or len({c for _, c in out if c is not None}) <= 1
+    assert len(out) == len(rows) and {i for i, _ in out} == {None, 4, 5}
+
+
+def test_odd_rows_op5_op6(spark, odd_rows):
+    d, rows = odd_rows
+    assert values(token_counts.op5_token_counts(spark, d), "doc_id", "n_pretokens") == sorted([(i, len((t or "").split())) for i, t in rows], key=repr)
+    pad = lambda b: b + b"\xff" * (-len(b) % 576 or (576 if not b else 0))
+    want = sorted([(i, len(t or ""), hashlib.sha256(pad((t or "").encode())).hexdigest()) for i, t in rows], key=repr)
+    assert values(media.op6_media(spark, d), "doc_id", "n_bytes", "payload_sha256") == want
+
+
+def test_odd_rows_op7(spark, tmp_path):
+    """Rows that share a doc_id count as one document: four documents hold LINE here, and five hold the other line."""
+    rows = [(1, LINE), (1, LINE), (2, LINE), (3, LINE), (4, LINE), (None, LINE[::-1]), (5, LINE[::-1]), (6, LINE[::-1]), (7, LINE[::-1]), (8, LINE[::-1] + "\n" + LINE[::-1]), (8, LINE[::-1])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = values(line_dedup.op7_line_dedup(spark, str(tmp_path)), "doc_id", "n_lines", "n_dropped")
+    assert out == sorted([(i, t.count("\n") + 1, int(i in (None, 5, 6, 7))) for i, t in rows], key=repr)
+
+
+def test_odd_rows_op8_op9(spark, odd_rows, library):
+    d, rows = odd_rows
+    n = sorted([(i, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows], key=repr)
+    pieces = values(packing.op8_packing(spark, d), "doc_id", "doc_tokens", "start", "length")
+    assert {p[:2] for p in pieces} == set(n) and sum(p[3] for p in pieces) == sum(x for _, x in n)
+    assert sum(p[2] == 0 for p in pieces) == len(rows)  # each document begins once
+    assert values(toxicity.op9_toxicity(spark, d), "doc_id", "held_out", "score", "predicted") == sorted([(i, i is not None and zlib.crc32(str(i).encode()) % 4 == 2, 0.0, 0) for i, _ in rows], key=repr)
+
+
+def test_op2_ties_lengths_and_repeats(spark, tmp_path):
+    """Vectors that are one times powers of two tie to the last bit: the smallest ids win. Other lengths are other spaces."""
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=8)
+    rows = [(i, [float(x) * 2.0 ** (i % 40 - 20) for x in v]) for i in range(300)]
+    rows += [(350, [1e200] * 3), (351, [2e200, 2e200, 1e200]), (352, [1e-200] * 3), (None, [1.0, 2.0, 3.0]), (400, []), (401, [0.0, 0.0, 0.0]), (402, [1.0, float("inf"), 0.0]), (352, [1e-200] * 3)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = {}
+    for r in neighbours.op2_neighbours(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        out.setdefault(r["query_id"], []).append(r["vec_id"])
+    small = [0, 1, 2, 3, 4, 5]
+    assert out == {q: [i for i in small if i != q][:5] for q in (0, 50, 100, 150, 200, 250)} | {350: [352, 351]}
+
+
+def test_op2_recall_on_many(spark, tmp_path):
+    """Enough vectors that a query's windows are a small part of them."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 32))
+    spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4).write.parquet(str(tmp_path / "embeddings.parquet"))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got_, hits = {}, 0
+    for r in neighbours.op2_neighbours(spark, str(tmp_path)).collect():
+        got_.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q in range(0, 6000, 50):
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(set(np.argsort(-s)[:5].tolist()) & got_[q])
+    assert len(got_) == 120 and hits / 600 >= 0.9
+
+
+def test_encoders_equal_the_library_on_every_plain_character(library):
+    """Alone, in a word and between words: all that the fast path takes, and the characters around it."""
+    import pyarrow as pa
+
+    chars = [chr(i) for i in range(1, 0x300) if chr(i) not in "\0"] + ["ẞ", "ſ", "K", "Å", "ﬁ", "Σ", "ς", "日", "😀"]
+    some = [t for c in chars for t in (c, f"a{c}x", f"{c} 'S{c}", f"x {c}{c}9")]
+    want = [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+    for kind in (tokens.ChunkEncoder, bpe.MergeEncoder):
+        ids, n = tokens.encoder(tokens.default_tokenizer(), kind).encode(pa.array(some))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+
+
+def test_encoder_that_forgets(library, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "CACHE", 5)
+    enc = tokens.ChunkEncoder(tokens.default_tokenizer())
+    for part in (["a few words here", "and a few", ""], ["a few more words", "here"], ["words a few"]):
+        ids, n = enc.encode(pa.array(part))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+
+
+def test_whole_groups():
+    import pyarrow as pa
+
+    keys = np.sort(np.random.default_rng(0).integers(0, 9, 60))
+    batches = [pa.RecordBatch.from_pydict({"k": keys[a:b], "v": np.arange(a, b)}) for a, b in ((0, 1), (1, 1), (1, 20), (20, 23), (23, 60))]
+    seen = []
+    for (k, v), ends in simhash.whole_groups(batches, ["k", "v"], 1):
+        for a, b in zip([0, *ends[:-1]], ends, strict=True):
+            assert len(set(k[a:b])) == 1
+            seen.append((int(k[a]), v[a:b].tolist()))
+    assert seen == [(g, np.flatnonzero(keys == g).tolist()) for g in np.unique(keys).tolist()]
+
+
+def test_parity_maps_bound_differences():
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 2**63, 400).astype(np.uint64)
+    for _ in range(50):
+        a, b = (np.unique(rng.choice(pool, 150)) for _ in "ab")
+        apart = int(np.bitwise_count((simhash.parity_map(a) ^ simhash.parity_map(b)).view(np.uint64)).sum())
+        assert apart <= len(np.setxor1d(a, b))
 
 
 def shingles(t, words=5):
