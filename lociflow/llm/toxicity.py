@@ -34,6 +34,8 @@ WINDOW, STRIDE, HIDDEN = 32, 16, 8
 WORD_ROWS, GRAM_ROWS, ODDS_ROWS, WORD_DIM, GRAM_DIM = 1 << 12, 1 << 12, 1 << 17, 4, 6
 MOST_TOXIC, MOST_CLEAN, EPOCHS, LEAST_STEPS, BATCH, RATE, THRESHOLD = 1200, 2400, 4, 120, 256, 0.01, 0.3
 GRAMS = (3, 5)
+#: Distinct words whose grams are looked up at once.
+CHUNK = 50_000
 INPUTS = WORD_DIM + GRAM_DIM + 3
 
 
@@ -48,6 +50,13 @@ class Words:
 
     @staticmethod
     def of(distinct: pa.Array) -> Words:
+        parts = [Words._of(distinct.slice(at, CHUNK)) for at in range(0, len(distinct), CHUNK)] or [Words._of(distinct)]
+        word, gram, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return Words(word, gram, np.cumsum(counts) - counts, counts)
+
+    @staticmethod
+    def _of(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, gram, counts) of some words."""
         bare = pc.replace_substring_regex(distinct.cast(pa.large_string()), r"^[^\pL\pN]+|[^\pL\pN]+$", "")
         data, offsets = texts(pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), bare, pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())))
         n, lengths = len(distinct), np.diff(offsets)
@@ -68,13 +77,12 @@ class Words:
             owners.append(owner[at])
         gram, owner = np.concatenate(grams), np.concatenate(owners)
         order = np.argsort(owner, kind="stable")
-        counts = np.bincount(owner, minlength=n)
-        return Words(_finish(word), _finish(gram[order]), np.cumsum(counts) - counts, counts)
+        return _finish(word), _finish(gram[order]), np.bincount(owner, minlength=n)
 
 
 def _finish(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(40)).astype(np.int64)
+    return (h >> np.uint64(40)).astype(np.int32)  # 24 bits
 
 
 @dataclass
@@ -93,14 +101,18 @@ class Model:
 
     def inputs(self, w: Words) -> np.ndarray:
         """The input row of every distinct word, and one of zeros at the end for no word."""
-        p, scale = self.p, 1 / np.maximum(w.counts, 1)[:, None].astype(np.float32)
-        odds = self.gram_odds[w.gram % ODDS_ROWS]
         x = np.zeros((len(w.word) + 1, INPUTS), dtype=np.float32)
-        x[:-1, :WORD_DIM] = p["word"][w.word % WORD_ROWS]
-        x[:-1, WORD_DIM : WORD_DIM + GRAM_DIM] = self.sums(w, p["gram"][w.gram % GRAM_ROWS], np.add) * scale
-        x[:-1, -3] = self.word_odds[w.word % ODDS_ROWS]
-        x[:-1, -2] = self.sums(w, odds, np.maximum)
-        x[:-1, -1] = self.sums(w, odds, np.add) * scale[:, 0]
+        for at in range(0, len(w.word), CHUNK):
+            to = min(at + CHUNK, len(w.word))
+            first = int(w.starts[at])
+            some = Words(w.word[at:to], w.gram[first : int(w.starts[to - 1] + w.counts[to - 1])], w.starts[at:to] - first, w.counts[at:to])
+            p, scale, rows = self.p, 1 / np.maximum(some.counts, 1)[:, None].astype(np.float32), x[at:to]
+            odds = self.gram_odds[some.gram % ODDS_ROWS]
+            rows[:, :WORD_DIM] = p["word"][some.word % WORD_ROWS]
+            rows[:, WORD_DIM : WORD_DIM + GRAM_DIM] = self.sums(some, p["gram"][some.gram % GRAM_ROWS], np.add) * scale
+            rows[:, -3] = self.word_odds[some.word % ODDS_ROWS]
+            rows[:, -2] = self.sums(some, odds, np.maximum)
+            rows[:, -1] = self.sums(some, odds, np.add) * scale[:, 0]
         return x
 
     def run(self, x: np.ndarray, windows: np.ndarray, keep: bool = False):
