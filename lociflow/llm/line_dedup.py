@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, free_name, lean, narrow, slices, table, written
+from .common import columns_of, discard, free_name, lean, narrow, slices, table, written
 
 MIN_CHARS, MIN_DOCS, BATCHES, FAN_OUT = 40, 5, 4, 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,22 +63,24 @@ class LineRuns:
 
     def add(self, lines: DataFrame) -> None:
         """lines: (h1, h2, doc_id), one row for each document and key, all older than what the runs hold."""
-        batch = lines.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        whole = batch = lines.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
         held = self.runs()
         if held is not None:
             seen = held.filter(F.col("last_doc").isNotNull()).select(*KEY)
-            batch = written(batch, "batch")
+            whole = batch = written(batch, "batch")
             new = batch.hint("merge").join(seen, KEY, "left_anti")
             known = batch.hint("merge").join(seen, KEY, "left_semi").withColumn("last_doc", F.lit(None).cast("long"))
             batch = new.unionByName(known)
         self.levels[0].append(self._run(batch))
+        discard(whole)
         for k in range(len(self.levels)):
             if len(self.levels[k]) >= self.fan_out:
-                merged = self._merged(self.levels[k])
+                merged = self._run(self._merged(self.levels[k]))
+                discard(*self.levels[k])
                 self.levels[k] = []
                 if k + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[k + 1].append(self._run(merged))
+                self.levels[k + 1].append(merged)
 
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
         out = runs[0]
@@ -109,7 +111,9 @@ def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int)
             some = some.filter(F.col("doc_id") < high)
         # Rows that share a doc_id are one document; a key that many documents share stays many rows until it is counted.
         runs.add(some.select(*hashes(F.col("key")), "doc_id").distinct())
-    return written(runs.compacted().filter(F.col("n_docs") >= min_docs).select(*KEY, "last_doc"), "repeated")
+    out = written(runs.compacted().filter(F.col("n_docs") >= min_docs).select(*KEY, "last_doc"), "repeated")
+    discard(*[r for level in runs.levels for r in level])
+    return out
 
 
 def gone_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:

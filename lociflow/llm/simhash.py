@@ -26,6 +26,8 @@ empty table gives no rows; long texts are taken whole; other columns are not loo
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import lean, narrow, parts, slices, table, written
+from .common import discard, lean, narrow, parts, slices, table, written
 
 WORDS, MOST_BITS, SEED = 3, 3, 42
 NO_DOC = -(1 << 63)
@@ -340,18 +342,21 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     asked = classes.join(met.select("c").distinct(), "c", "left_semi").select(F.col("doc").alias("doc_id")).distinct()
     base = narrow(docs).select(known.alias("doc_id"), "text").join(asked, "doc_id", "left_semi")
     sets = written(shingle_sets(base, words).groupBy("c").agg(F.min("s").alias("s")), "shingles")
-    leaders = LEADERS
+    leaders, links_found = LEADERS, [written(good, "alike")]
     while not met.isEmpty():
         lead = written(led(met, leaders), "leaders")
         pairs = written(candidates(met, lead, similarity), "pairs")
         put = pairs.join(sets.select(F.col("c").alias("ca"), F.col("s").alias("sa")), "ca").join(sets.select(F.col("c").alias("cb"), F.col("s").alias("sb")), "cb")
         found = written(alike(put.select("a", "b", "sa", "sb"), similarity).distinct(), "alike")
-        good = good.unionByName(found)
+        links_found.append(found)
         left = met.join(lead.select(F.col("l_key").alias("key"), F.col("l_c").alias("c")), ["key", "c"], "left_anti")
         if not found.isEmpty():
             left = relabelled(left, "node", connected_components(found))
-        met = written(shared(left.select(met.columns)), "meetings")
+        before, met = met, written(shared(left.select(met.columns)), "meetings")
+        discard(before, lead, pairs)
         leaders = min(leaders * MORE, MOST_LEADERS)
+    discard(met, sets, classes, texts)
+    good = reduce(DataFrame.unionByName, links_found)
     return marks.join(relabelled(named, "component", connected_components(good)), "fp").select(known.alias("doc_id"), F.col("component").alias("group"))
 
 

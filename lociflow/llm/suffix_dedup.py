@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, lean, narrow, parts, release, slices, spread, table, texts, written
+from .common import columns_of, discard, lean, narrow, parts, release, slices, spread, table, texts, written
 from .suffix_kernel import GRAM, LENGTH, REACH, anchors, covered, multikey_sort, named_strings
 
 HOT, BLOCK, SAMPLE_BAND, SAMPLE_EACH = 20_000, 900_000, 256, 32
@@ -406,6 +406,7 @@ def kept_bytes(docs: DataFrame, with_text: bool) -> DataFrame:
     sent = context_messages(found, splitters, n).repartitionById(n, "to")
     gone = per_document(removals(sent, n).repartitionById(n, "to"), ["id", "starts", "ends", "kinds"], "id long, starts array<long>, ends array<long>, kinds array<long>")
     gone = written(gone, "gone")
+    discard(places)
 
     # Copies of a text after its first document. The texts of a hot key stay many rows: only counts and hashes meet.
     text_key = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2")]
