@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import expression_queries, filter_queries, gene_queries, interval_queries, search_queries, sequence_queries, series_queries, table_queries
+from .plans import expression_queries, filter_queries, gene_queries, group_queries, interval_queries, search_queries, sequence_queries, series_queries, table_queries
 
-MODULES = (interval_queries, gene_queries, table_queries, sequence_queries, series_queries, expression_queries, search_queries, filter_queries)
+MODULES = (interval_queries, gene_queries, table_queries, sequence_queries, series_queries, expression_queries, search_queries, filter_queries, group_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

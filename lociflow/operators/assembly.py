@@ -64,3 +64,19 @@ def scaffold_sets(edges: DataFrame) -> DataFrame:
     sizes = c.groupBy("component").agg(F.count("*").alias("contigs"))
     links = edges.join(c, edges["a"] == c["node"]).groupBy("component").agg(F.count("*").alias("links"))
     return sizes.join(links, "component").select(F.col("component").alias("scaffold"), "contigs", "links")
+
+
+def contigs(seqs: DataFrame, overlaps: DataFrame) -> DataFrame:
+    """(contig, n, seq): sequences (id, seq) along paths without a branch as one, and the others as they are.
+
+    overlaps (a, b, size): the last `size` characters of a begin b. A contig is a row: its parts are gathered in it.
+    """
+    e = best_edges(overlaps)
+    named = written(chains(e), "chains")
+    plain = e.join(named.select(F.col("node").alias("a"), F.col("chain").alias("_ca")), "a").join(named.select(F.col("node").alias("b"), F.col("chain").alias("_cb")), "b").filter("_ca = _cb").select("a", "b", "size")
+    plain = written(plain, "chained")
+    place = highest_paths(plain.withColumn("size", F.lit(1)).select("a", "b", "size")).select(F.col("node").alias("id"), "hops")
+    part = seqs.join(place, "id", "left").join(named.select(F.col("node").alias("id"), "chain"), "id", "left").join(plain.select(F.col("b").alias("id"), F.col("size").alias("shared")), "id", "left")
+    rest = F.substring(F.col("seq"), (F.coalesce("shared", F.lit(0)) + 1).cast("int"), F.char_length("seq"))
+    d = part.groupBy(F.coalesce("chain", "id").alias("contig")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(F.coalesce("hops", F.lit(0)).alias("at"), rest.alias("rest")))).alias("parts"))
+    return d.select("contig", "n", F.array_join(F.transform("parts", lambda x: x["rest"]), "").alias("seq"))

@@ -134,3 +134,91 @@ def shared_sites(sites: DataFrame) -> DataFrame:
 def homozygosity(calls: DataFrame, width: int) -> DataFrame:
     """(chrom, bin, a, b, score): the share of a bin's loci covered in both samples where their alleles are equal."""
     return pair_scores(calls, width).select("chrom", "bin", "a", "b", (F.col("same") / F.col("both")).alias("score"))
+
+
+def difference_counts(calls: DataFrame, width: int) -> DataFrame:
+    """(chrom, bin, a, b, diffs, both): for every two samples, a before b, the loci of a bin where their alleles differ and those where both are covered."""
+    p = pair_scores(calls, width)
+    return p.select("chrom", "bin", "a", "b", (F.col("both") - F.col("same")).alias("diffs"), "both")
+
+
+def grouped_samples(differences: DataFrame, samples: DataFrame, distance: int) -> DataFrame:
+    """(chrom, bin, sample, grp): groups of samples in each bin, the largest first.
+
+    Again and again the sample with most others within `distance` differences, of equals the first name, takes them as
+    its group, until none is left. A bin's samples are few; its pairs are what a task holds.
+    """
+    import pandas as pd
+
+    names = [r[0] for r in samples.select("sample").distinct().orderBy("sample").limit(100_000).collect()]  # samples are few beside loci
+    kind = dict(samples.dtypes)["sample"]
+
+    def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        near: dict = {n: {n} for n in names}
+        for a, b, d in zip(pdf["a"], pdf["b"], pdf["diffs"], strict=True):
+            if d <= distance:
+                near[a].add(b)
+                near[b].add(a)
+        left, rows, k = set(names), [], 0
+        while left:
+            centre = max((n for n in names if n in left), key=lambda n: (len(near[n] & left), -names.index(n)))
+            k += 1
+            taken = near[centre] & left
+            rows += [(*key, n, k) for n in sorted(taken)]
+            left -= taken
+        return pd.DataFrame(rows, columns=["chrom", "bin", "sample", "grp"])
+
+    kinds = dict(differences.dtypes)
+    return differences.groupBy("chrom", "bin").applyInPandas(group, f"chrom {kinds['chrom']}, bin {kinds['bin']}, sample {kind}, grp long")
+
+
+def allele_words(calls: DataFrame, size: int) -> DataFrame:
+    """(chrom, locus, sample, word): the alleles of `size` neighbouring loci of each sample, where all are covered."""
+    w = Window.partitionBy("chrom", "sample").orderBy("locus").rowsBetween(0, size - 1)
+    d = calls.withColumns({"_n": F.count(F.lit(1)).over(w), "_c": F.count("allele").over(w), "word": F.array_join(F.collect_list(F.col("allele").cast("string")).over(w), "|")})
+    return d.filter(F.col("_c") == size).select("chrom", "locus", "sample", "word")
+
+
+def telling_words(words: DataFrame, groups: DataFrame) -> DataFrame:
+    """(chrom, locus, grp, word, n): words that samples of one group only have, with how many do."""
+    c = words.join(groups, "sample").groupBy("chrom", "locus", "word", "grp").agg(F.count("*").alias("n"))
+    one = c.groupBy("chrom", "locus", "word").agg(F.count("*").alias("k"), F.min("grp").alias("grp"), F.min("n").alias("n")).filter("k = 1")
+    return one.select("chrom", "locus", "grp", "word", "n")
+
+
+def least_word_distance(words: DataFrame, groups: DataFrame) -> DataFrame:
+    """(chrom, locus, a, b, least): for every two groups, the fewest places in which a word of one differs from a word of the other. A locus has few distinct words."""
+    d = words.join(groups, "sample").select("chrom", "locus", "grp", "word").distinct()
+    x, y = (d.select("chrom", "locus", F.col("grp").alias(k), F.split("word", r"\|").alias(f"w{k}")) for k in "ab")
+    p = x.join(y, ["chrom", "locus"]).filter("a < b")
+    apart = F.aggregate(F.zip_with("wa", "wb", lambda m, n: (m != n).cast("int")), F.lit(0), lambda s, v: s + v)
+    return p.groupBy("chrom", "locus", "a", "b").agg(F.min(apart).alias("least"))
+
+
+def site_gaps(sites: DataFrame) -> DataFrame:
+    """(gap, n): how often neighbouring distinct sites of a chromosome are so far apart."""
+    from .scans import following
+
+    d = following(sites.select("chrom", "locus").distinct(), ["chrom"], "locus", {"next": "locus"}).filter("next IS NOT NULL")
+    return d.groupBy((F.col("next") - F.col("locus")).alias("gap")).agg(F.count("*").alias("n"))
+
+
+def distinct_sites(sites: DataFrame) -> DataFrame:
+    """(chrom, n): distinct loci of each chromosome."""
+    return sites.select("chrom", "locus").distinct().groupBy("chrom").agg(F.count("*").alias("n"))
+
+
+def united(*calls: DataFrame) -> DataFrame:
+    """Calls of several tables as one: at a locus of a sample the first table that has an allele counts."""
+    parts = [c.select("chrom", "locus", "sample", "allele", F.lit(i).alias("_i")) for i, c in enumerate(calls)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("chrom", "locus", "sample").agg(F.min_by("allele", F.when(F.col("allele").isNotNull(), F.col("_i"))).alias("allele"))
+
+
+def imputed_counts(counts: DataFrame, called: DataFrame, species: DataFrame, ref: str = "ref") -> DataFrame:
+    """counts (chrom, locus, species, base, n) with a row of the reference's base and n 0 for each species that has none at a called locus (chrom, locus, ref)."""
+    want = called.select("chrom", "locus", F.col(ref).alias("base")).distinct().join(F.broadcast(species.select("species").distinct().limit(100_000)))  # species are few
+    lack = want.join(counts.select("chrom", "locus", "species").distinct(), ["chrom", "locus", "species"], "left_anti")
+    return counts.select("chrom", "locus", "species", "base", "n").unionByName(lack.withColumn("n", F.lit(0).cast("bigint")))

@@ -119,3 +119,30 @@ def log_factorial(n: Column) -> Column:
     series = (x - 0.5) * F.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x * x * x)
     summed = F.aggregate(F.when(n >= 2, F.sequence(F.lit(2), F.least(n, F.lit(255)).cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
     return F.when(n < 256, summed).otherwise(series)
+
+
+def fragments(spark: SparkSession, n: int, chroms: int, size: int, least: int, most: int, preference: dict[str, float], genome_seed: int, seed: int, tries: int = 64) -> DataFrame:
+    """(id, chrom, start, length, seq): pieces of that genome cut where a site, as long as the keys, is preferred.
+
+    A cut is accepted by its site's preference from 0 to 1 among up to `tries` random places; sites that aren't named have 0.
+    A row whose places all fail is left out.
+    """
+    k = len(next(iter(preference)))
+    i = F.col("id")
+    each = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda t: F.struct(t.alias("t"), whole_number(F.lit(chroms), seed, 1, i, t).alias("chrom"), whole_number(F.lit(size - most + 1), seed, 2, i, t).alias("start"), uniform(seed, 3, i, t).alias("u")))
+    weight = F.create_map(*[x for key, v in preference.items() for x in (F.lit(key), F.lit(v))])
+    ok = F.filter(each, lambda x: x["u"] < F.coalesce(F.element_at(weight, stretch(genome_seed, x["chrom"], x["start"], F.lit(k))), F.lit(0.0)))
+    d = spark.range(n).withColumn("_c", F.get(ok, F.lit(0))).filter("_c IS NOT NULL")
+    length = least + whole_number(F.lit(most - least + 1), seed, 4, i)
+    return d.select("id", "_c.chrom", "_c.start", length.alias("length")).withColumn("seq", stretch(genome_seed, F.col("chrom"), F.col("start"), F.col("length")))
+
+
+def expression_counts(spark: SparkSession, genes: int, samples: int, mean: float, changed: float, fold: float, seed: int) -> DataFrame:
+    """(gene, sample, treated, rate, n): Poisson counts of genes in samples, every second one treated; a share of genes changes by `fold` in these."""
+    i = F.col("id")
+    d = spark.range(genes * samples).select(F.floor(i / samples).alias("gene"), (i % samples).alias("sample"))
+    base = -F.log(1 - uniform(seed, 1, F.col("gene"))) * mean  # rates of genes fall off exponentially
+    treated = F.col("sample") % 2 == 1
+    rate = base * F.when(treated & (uniform(seed, 2, F.col("gene")) < changed), fold).otherwise(1.0)
+    d = d.withColumns({"treated": treated, "rate": F.least(rate, F.lit(500.0))})
+    return d.withColumn("n", poisson(F.col("rate"), seed, 3, F.col("gene"), F.col("sample")))

@@ -90,3 +90,74 @@ def spans(df: DataFrame, keys: list[str], position: str, value: str) -> DataFram
 
 def complement(base: Column) -> Column:
     return F.reverse(F.translate(base, "ACGTacgt", "TGCAtgca"))
+
+
+def top_columns(df: DataFrame, least: float, most: int) -> DataFrame:
+    """(col, support): the `most` columns of a matrix (row, col, value) with most values of at least `least`; of equals the first."""
+    s = df.filter(F.col("value") >= least).groupBy("col").agg(F.count("*").alias("support"))
+    return s.orderBy(F.desc("support"), "col").limit(most)
+
+
+def column_sets(df: DataFrame, least: float, size: int, rows: int) -> DataFrame:
+    """(items, support): sets of `size` columns in which at least `rows` rows reach `least` together.
+
+    Sets grow by one column a step from those that are frequent, so few that aren't are counted; a row holds its frequent sets.
+    """
+    has = df.filter(F.col("value") >= least).select("row", "col").distinct()
+    now = has.select("row", F.array("col").alias("items"))
+    for n in range(1, size + 1):
+        often = now.groupBy("items").agg(F.count("*").alias("support")).filter(F.col("support") >= rows)
+        if n == size:
+            return often
+        kept = now.join(often.select("items"), "items")
+        now = kept.join(has, "row").filter(F.col("col") > F.element_at("items", -1)).select("row", F.concat("items", F.array("col")).alias("items"))
+    raise ValueError("size must be 1 at least")
+
+
+def region_table(df: DataFrame, cls: str, region: str, regions: list, value: Column) -> DataFrame:
+    """One row a class with the summed value of each region, 0 where there is none, and their percent of the class: r_<region>, p_<region>."""
+    sums = [F.sum(F.when(F.col(region) == r, value).otherwise(0)).alias(f"r_{r}") for r in regions]
+    d = df.groupBy(cls).agg(*sums, F.sum(value).alias("_all"))
+    return d.select(cls, *[f"r_{r}" for r in regions], *[F.try_divide(100.0 * F.col(f"r_{r}"), F.col("_all")).alias(f"p_{r}") for r in regions])
+
+
+def feature_depth(segments: DataFrame, features: DataFrame, depth: str) -> DataFrame:
+    """(name, covered, total, mean): bases of each feature with any depth, their summed depth, and its mean over the feature."""
+    from .intervals import overlap_join
+
+    p = overlap_join(segments.select("chrom", "s", "e", depth), features.select("chrom", "s", "e", "name"))
+    n = F.least("e", "r_e") - F.greatest("s", "r_s") + 1
+    d = p.groupBy(F.col("r_name").alias("name"), "r_s", "r_e").agg(F.sum(n).alias("covered"), F.sum(n * F.col(depth)).alias("total"))
+    return d.select("name", "covered", "total", (F.col("total") / (F.col("r_e") - F.col("r_s") + 1)).alias("mean"))
+
+
+def feature_bins(loci: DataFrame, features: DataFrame, bins: int, sides: dict[str, Column]) -> DataFrame:
+    """(name, bin, sides): starts of loci in the even parts of each feature, along its strand, counted by side."""
+    from .intervals import overlap_join
+
+    l = loci.select("chrom", "s", F.col("s").alias("e"), *[c.alias(f"_{n}") for n, c in sides.items()])
+    p = overlap_join(l, features.select("chrom", "s", "e", "strand", "name"))
+    at = F.when(F.col("r_strand") == "-", F.col("r_e") - F.col("s")).otherwise(F.col("s") - F.col("r_s"))
+    bin_ = F.floor(at * bins / (F.col("r_e") - F.col("r_s") + 1))
+    return p.groupBy(F.col("r_name").alias("name"), bin_.alias("bin")).agg(*[F.sum(F.col(f"_{n}").cast("int")).alias(n) for n in sides])
+
+
+def bin_overlap(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """(keys, both, only_x, only_y): bins with counts on both sides, and on one only."""
+    hit = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    a, b = F.col(x) > 0, F.col(y) > 0
+    return df.groupBy(*keys).agg(hit(a & b).alias("both"), hit(a & ~b).alias("only_x"), hit(~a & b).alias("only_y"))
+
+
+def profile_agreement(counts: DataFrame, group: str, key: str, n: str) -> DataFrame:
+    """(a, b, r): Pearson's correlation, over all keys that any group has, of every two groups' counts plus one. Groups are few."""
+    g = counts.groupBy(group, key).agg(F.sum(n).cast("double").alias("v"))
+    total = g.agg(F.count_distinct(key).alias("m"))
+    one = g.groupBy(group).agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    x, y = g.select(key, F.col(group).alias("a"), F.col("v").alias("va")), g.select(key, F.col(group).alias("b"), F.col("v").alias("vb"))
+    xy = x.join(y, key).filter("a < b").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("p"))
+    d = xy.join(one.select(F.col(group).alias("a"), F.col("s").alias("sa"), F.col("q").alias("qa")), "a").join(one.select(F.col(group).alias("b"), F.col("s").alias("sb"), F.col("q").alias("qb")), "b").join(F.broadcast(total))
+    # Adding one to every count moves no deviation.
+    m = F.col("m")
+    cov = F.col("p") - F.col("sa") * F.col("sb") / m
+    return d.select("a", "b", (cov / F.sqrt((F.col("qa") - F.col("sa") * F.col("sa") / m) * (F.col("qb") - F.col("sb") * F.col("sb") / m))).alias("r"))
