@@ -1,11 +1,11 @@
 """Line dedup (7): levelled sorted runs of line hashes.
 
-Documents come in batches of descending doc_id. A batch's line keys are hashed to 128 bits and summed
-up to one entry (hash, documents, largest doc_id) each, sorted by hash: a run. A merge-anti-join with
-the runs so far tells the keys that are new from those that a later document already holds: new
-keys enter the batch's run with their doc_id, known keys only with their count. `fan_out` runs of one level are
-merged to one run of the next, so an entry is rewritten once a level. The last compaction leaves one
-run of all keys; those found in at least `min_docs` documents say which lines go.
+Texts are split once: the hashes of their long lines are written by batches of descending doc_id. A batch's line keys,
+hashed to 128 bits, are summed up to one entry (hash, documents, largest doc_id) each: a run, stored in buckets of the
+hash whose files are sorted. A merge join with each run so far, which needs no shuffle and no sort of the run, tells the
+keys that a later document already holds: new keys enter the batch's run with their doc_id, known keys only with their
+count. `fan_out` runs of one level are merged bucket by bucket to one run of the next, so an entry is rewritten once a
+level. The last compaction leaves one run of all keys; those found in at least `min_docs` documents say which lines go.
 
 A line's key is the line without white space [\\x20\\x09-\\x0D] at its ends and with A-Z in lower case; keys of less than
 `min_chars` code points stay. All lines of a dropped key go except those in the largest doc_id that
@@ -19,14 +19,20 @@ columns are not looked at, whatever their names.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from functools import reduce
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, discard, free_name, lean, narrow, slices, table, written
+from .common import columns_of, discard, free_name, lean, narrow, parts, remove, shared_dir, slices, table, written
 
-MIN_CHARS, MIN_DOCS, BATCHES, FAN_OUT = 40, 5, 4, 3
+MIN_CHARS, MIN_DOCS, FAN_OUT = 40, 5, 2
+#: Batches at least; documents of a batch at most, about.
+BATCHES, BATCH_DOCS = 4, 200_000_000
+LINES = "doc_id long, t long, line int, h1 long, h2 long"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = " \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
@@ -45,85 +51,115 @@ def hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2")]
 
 
+@contextmanager
+def sorted_scans(spark: SparkSession):
+    """Within it, scans of buckets of one sorted file count as sorted; the session's setting comes back after."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class LineRuns:
-    """Runs of (h1, h2, n_docs, last_doc), level by level; every run is sorted by its hash."""
+    """Runs of (h1, h2, n_docs, last_doc), level by level: tables in buckets by hash, each bucket's file sorted by hash."""
 
     def __init__(self, spark: SparkSession, fan_out: int = FAN_OUT):
-        self.spark, self.fan_out = spark, fan_out
-        self.levels: list[list[DataFrame]] = [[]]
+        self.spark, self.fan_out, self.buckets = spark, fan_out, parts(spark)
+        self.levels: list[list[str]] = [[]]
+        self.paths: dict[str, str] = {}
+
+    def _write(self, df: DataFrame) -> str:
+        path = shared_dir(self.spark, "run")
+        name = f"lociflow_run_{path.rpartition('-')[2]}"
+        df.write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
+        self.paths[name] = path
+        return name
 
-    def runs(self) -> DataFrame | None:
-        out = None
-        for run in (r for level in self.levels for r in level):
-            out = run if out is None else out.unionByName(run)
-        return out
+    def drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, self.paths.pop(name))
 
-    def _run(self, df: DataFrame) -> DataFrame:
-        return written(df.sortWithinPartitions(*KEY), "run")
+    def names(self) -> list[str]:
+        return [n for level in self.levels for n in level]
 
     def add(self, lines: DataFrame) -> None:
         """lines: (h1, h2, doc_id), one row for each document and key, all older than what the runs hold."""
-        whole = batch = lines.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        held = self.runs()
-        if held is not None:
-            seen = held.filter(F.col("last_doc").isNotNull()).select(*KEY)
-            whole = batch = written(batch, "batch")
-            new = batch.hint("merge").join(seen, KEY, "left_anti")
-            known = batch.hint("merge").join(seen, KEY, "left_semi").withColumn("last_doc", F.lit(None).cast("long"))
-            batch = new.unionByName(known)
-        self.levels[0].append(self._run(batch))
-        discard(whole)
-        for k in range(len(self.levels)):
-            if len(self.levels[k]) >= self.fan_out:
-                merged = self._run(self._merged(self.levels[k]))
-                discard(*self.levels[k])
-                self.levels[k] = []
-                if k + 1 == len(self.levels):
-                    self.levels.append([])
-                self.levels[k + 1].append(merged)
-
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for r in runs[1:]:
-            out = out.unionByName(r)
-        return out.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+        batch = lines.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        known = F.lit(False)
+        with sorted_scans(self.spark):
+            for i, name in enumerate(self.names()):
+                held = self.spark.table(name).select(*KEY, F.col("last_doc").isNotNull().alias(f"held{i}"))
+                batch = batch.hint("merge").join(held, KEY, "left")
+                known = known | F.coalesce(f"held{i}", F.lit(False))
+            self.levels[0].append(self._write(batch.select(*KEY, "n_docs", F.when(~known, F.col("last_doc")).alias("last_doc"))))
+            for k in range(len(self.levels)):
+                if len(self.levels[k]) >= self.fan_out:
+                    merged = self._one(self.levels[k])
+                    self.levels[k] = []
+                    if k + 1 == len(self.levels):
+                        self.levels.append([])
+                    self.levels[k + 1].append(merged)
+
+    def _one(self, names: list[str]) -> str:
+        """The runs as one, merged two by two: a merge join of buckets, without a shuffle."""
+        first, *rest = names
+        for name in rest:
+            first, old = self._write(self._both(first, name)), [first, name]
+            self.drop(old)
+        return first
+
+    def _both(self, a: str, b: str) -> DataFrame:
+        x, y = (self.spark.table(n).select(*KEY, F.col("n_docs").alias(f"n{i}"), F.col("last_doc").alias(f"d{i}")) for i, n in enumerate((a, b)))
+        n = F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))
+        return x.hint("merge").join(y, KEY, "full").select(*KEY, n.alias("n_docs"), F.greatest("d0", "d1").alias("last_doc"))
 
     def compacted(self) -> DataFrame:
-        return self._merged([r for level in self.levels for r in level])
+        """All runs as one."""
+        with sorted_scans(self.spark):
+            name = self._one(self.names())
+        self.levels = [[name]]
+        return self.spark.table(name)
 
 
-def doc_batches(docs: DataFrame, batches: int) -> list[tuple[int | None, int | None]]:
-    """Ranges [low, high) of doc_id, the largest first; None: open."""
+def batch_number(docs: DataFrame, batches: int) -> Column:
+    """The batch of a doc_id: 0 for the largest ones."""
     cuts = sorted(set(docs.select("doc_id").approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)))
-    edges = [None, *[int(c) for c in cuts], None]
-    return list(zip(edges[:-1], edges[1:], strict=True))[::-1]
-
-
-def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int) -> DataFrame:
-    """(h1, h2, last_doc) of the keys found in at least min_docs documents. docs: doc_id (no nulls), text."""
-    runs = LineRuns(docs.sparkSession)
-    lines = docs.select("doc_id", F.explode(F.array_distinct(keys_of(F.col("text"), min_chars))).alias("key"))
-    for low, high in doc_batches(docs, batches):
-        some = lines
-        if low is not None:
-            some = some.filter(F.col("doc_id") >= low)
-        if high is not None:
-            some = some.filter(F.col("doc_id") < high)
+    return sum((F.when(F.col("doc_id") < F.lit(int(c)), 1).otherwise(0) for c in cuts), F.lit(0))
+
+
+def repeated_lines(spark: SparkSession, path: str, min_docs: int) -> DataFrame:
+    """(h1, h2, last_doc) of the keys found in at least min_docs documents, from the hashes stored by batch."""
+    lines = spark.read.schema(LINES + ", batch int").parquet(path)
+    runs = LineRuns(spark)
+    for number in sorted(r[0] for r in lines.select("batch").distinct().collect()):  # the batches' numbers
         # Rows that share a doc_id are one document; a key that many documents share stays many rows until it is counted.
-        runs.add(some.select(*hashes(F.col("key")), "doc_id").distinct())
+        runs.add(lines.filter(F.col("batch") == number).select(*KEY, "doc_id").distinct())
+    if not runs.names():
+        return spark.createDataFrame([], "h1 long, h2 long, last_doc long")
     out = written(runs.compacted().filter(F.col("n_docs") >= min_docs).select(*KEY, "last_doc"), "repeated")
-    discard(*[r for level in runs.levels for r in level])
+    runs.drop(runs.names())
     return out
 
 
-def gone_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+def gone_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None) -> DataFrame:
     """(doc_id, t, gone): the line numbers that go, by doc_id and hash of the text."""
+    spark = docs.sparkSession
     docs = narrow(docs).select(F.coalesce("doc_id", F.lit(NO_DOC)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    repeated = repeated_lines(docs, min_chars, min_docs, batches)
-    at = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.transform(F.split("text", "\n", -1), line_key)).alias("line", "key"))
-    at = at.filter(F.char_length("key") >= min_chars).select("doc_id", "t", "line", *hashes(F.col("key")))
-    gone = at.join(repeated, KEY).filter(F.col("doc_id") < F.col("last_doc"))
-    return gone.groupBy("doc_id", "t").agg(F.collect_set("line").alias("gone"))
+    batches = batches or max(BATCHES, -(-docs.count() // BATCH_DOCS))
+    each = F.posexplode(F.transform(F.split("text", "\n", -1), line_key)).alias("line", "key")
+    at = docs.select("doc_id", F.xxhash64("text").alias("t"), batch_number(docs, batches).alias("batch"), each).filter(F.char_length("key") >= min_chars)
+    path = shared_dir(spark, "lines")
+    at.select("doc_id", "t", "line", *hashes(F.col("key")), "batch").write.partitionBy("batch").parquet(path)
+    repeated = repeated_lines(spark, path, min_docs)
+    gone = spark.read.schema(LINES).parquet(path).join(repeated, KEY).filter(F.col("doc_id") < F.col("last_doc"))
+    out = written(gone.groupBy("doc_id", "t").agg(F.collect_set("line").alias("gone")), "gone")
+    discard(repeated)
+    remove(spark, path)
+    return out
 
 
 def marked(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
