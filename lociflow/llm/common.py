@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import discard, shared_dir, table, written  # noqa: F401
+from ..sources.storage import discard, remove, shared_dir, table, written  # noqa: F401
 
 
 #: Most bytes of rows that go to a Python worker at once.
