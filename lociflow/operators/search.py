@@ -221,3 +221,81 @@ def flanks(sites: DataFrame, seqs: DataFrame, before: int, after: int) -> DataFr
     piece = F.substring(F.col("seq"), (F.col("at") - before + 1).cast("int"), F.lit(before + after + 1))
     ok = (F.col("at") >= before) & (F.col("at") + after < F.char_length("seq")) & ~F.contains(F.upper(piece), F.lit("N"))
     return d.select("site", "id", "at", F.when(ok, piece).alias("flank"))
+
+
+def seed_hits(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """(query, target, q_at, t_at): k-mers that a query and a target share."""
+    q = kmer_index(queries, k).select(F.col("id").alias("query"), F.col("at").alias("q_at"), "kmer")
+    t = kmer_index(targets, k).select(F.col("id").alias("target"), F.col("at").alias("t_at"), "kmer")
+    return q.join(t, "kmer").drop("kmer")
+
+
+def seed_nodes(seeds: DataFrame, k: int, gap: int = 0) -> DataFrame:
+    """(query, target, q_s, q_e, t_s, t_e): seeds on one diagonal as one where no more than `gap` characters lie between them."""
+    from .intervals import merge_islands
+
+    d = seeds.select("query", "target", (F.col("t_at") - F.col("q_at")).alias("diagonal"), F.col("q_at").alias("s"), (F.col("q_at") + k - 1).alias("e"))
+    m = merge_islands(d, ["query", "target", "diagonal"], gap)
+    return m.select("query", "target", F.col("s").alias("q_s"), F.col("e").alias("q_e"), (F.col("s") + F.col("diagonal")).alias("t_s"), (F.col("e") + F.col("diagonal")).alias("t_e"))
+
+
+def best_chains(nodes: DataFrame, gap_cost: float = 0.1) -> DataFrame:
+    """(query, target, score, nodes, q_s, q_e, t_s, t_e): the best chain of nodes of each query and target.
+
+    Along a chain nodes follow one another in both sequences; where they overlap, the later one counts from the
+    earlier one's end. A chain's score is the nodes' lengths less gap_cost for each diagonal between them. What a task holds are the nodes of one query in one target.
+    """
+    kinds = dict(nodes.dtypes)
+
+    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf.sort_values(["q_s", "t_s", "q_e"])[["q_s", "q_e", "t_s", "t_e"]].to_numpy(np.int64)
+        size = (v[:, 1] - v[:, 0] + 1).astype(float)
+        score, back = size.copy(), np.full(len(v), -1)
+        for i in range(1, len(v)):
+            shared = np.maximum(0, np.maximum(v[:i, 1] - v[i, 0], v[:i, 3] - v[i, 2]) + 1)
+            before = np.flatnonzero((v[:i, 0] < v[i, 0]) & (v[:i, 2] < v[i, 2]) & (shared < size[i]))
+            if len(before):
+                uneven = np.abs((v[i, 2] - v[i, 0]) - (v[before, 2] - v[before, 0]))
+                offer = score[before] - gap_cost * uneven - shared[before]
+                best = int(offer.argmax())
+                if offer[best] > 0:
+                    score[i], back[i] = size[i] + offer[best], before[best]
+        end = at = int(score.argmax())
+        n = 1
+        while back[at] >= 0:
+            at, n = back[at], n + 1
+        return pd.DataFrame([(*key, float(score[end]), n, v[at, 0], v[end, 1], v[at, 2], v[end, 3])], columns=["query", "target", "score", "nodes", "q_s", "q_e", "t_s", "t_e"])
+
+    return nodes.groupBy("query", "target").applyInPandas(chain, f"query {kinds['query']}, target {kinds['target']}, score double, nodes int, q_s long, q_e long, t_s long, t_e long")
+
+
+def local_matches(queries: DataFrame, targets: DataFrame, k: int, least: float, most: int) -> DataFrame:
+    """Each query's `most` best chains of at least a score, against targets on both strands: column strand."""
+    found = None
+    for strand, seq in (("+", F.col("seq")), ("-", reverse_complement(F.col("seq")))):
+        some = best_chains(seed_nodes(seed_hits(queries.select("id", seq.alias("seq")), targets, k), k)).withColumn("strand", F.lit(strand))
+        found = some if found is None else found.unionByName(some)
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "target", "strand")
+    return found.filter(F.col("score") >= least).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+
+
+def paired_hits(first: DataFrame, second: DataFrame, least: int, most: int) -> DataFrame:
+    """(id, target, at, mate_at, insert): hits of both reads of a pair on one target, the second `least` to `most` characters on. Both: id, target, at."""
+    from .series import band_pairs
+
+    p = band_pairs(first.select("id", "target", "at"), second.select("id", "target", "at"), ["id", "target"], "at", most)
+    return p.filter(F.col("distance").between(least, most)).select("id", "target", "at", F.col("r_at").alias("mate_at"), F.col("distance").alias("insert"))
+
+
+def unique_flanks(sites: DataFrame, seqs: DataFrame, before: int, after: int) -> DataFrame:
+    """flanks of sites that occur once in all sequences."""
+    f = flanks(sites, seqs, before, after).filter("flank IS NOT NULL")
+    n = exact_hits(f.select(F.col("site").alias("id"), F.col("flank").alias("seq")), seqs, before + after + 1).groupBy("id").agg(F.count("*").alias("n"))
+    return f.join(n.filter("n = 1").select(F.col("id").alias("site")), "site", "left_semi")
+
+
+def split_reads(reads: DataFrame, adapter: str, least: int) -> DataFrame:
+    """(id, part, seq): what lies between an adapter's places in each read, on either strand, from `least` characters on."""
+    flip = adapter[::-1].translate(str.maketrans("ACGTUacgtu", "TGCAAtgcaa"))
+    parts = F.split("seq", f"(?i)(?:{adapter}|{flip})")
+    return reads.select("id", F.posexplode(parts).alias("part", "seq")).filter(F.char_length("seq") >= least)

@@ -324,3 +324,28 @@ def edit_distances(spark, d):
 @query("name_lists", "SELECT p_partkey, len(list_distinct(list_filter(regexp_split_to_array(p_name || ', ' || p_type || ';' || p_name, '[,;\\s]+'), lambda x: x <> ''))) AS n FROM part")
 def name_lists(spark, d):
     return table(spark, d, "part").select("p_partkey", F.size(Q.name_list(F.concat("p_name", F.lit(", "), "p_type", F.lit(";"), "p_name"))).cast("bigint").alias("n"))
+
+
+_seeds = "names AS (SELECT min(p_partkey) AS id, p_name AS seq FROM part GROUP BY p_name), w AS (SELECT id, i AS p, substr(seq, i + 1, 3) AS kmer FROM (SELECT id, seq, unnest(range(0, length(seq) - 2)) AS i FROM names)), sd AS (SELECT a.id AS query, b.id AS target, a.p AS q_at, b.p AS t_at FROM w a JOIN w b USING (kmer))"
+
+
+@query("seed_hits", f"WITH {_seeds} SELECT query, target, q_at, t_at FROM sd")
+def seed_hits(spark, d):
+    return S.seed_hits(names(spark, d), names(spark, d), 3)
+
+
+@query("seed_nodes", f"WITH {_seeds}, r AS (SELECT DISTINCT *, t_at - q_at AS dg FROM sd), x AS (SELECT *, CASE WHEN q_at <= lag(q_at) OVER (PARTITION BY query, target, dg ORDER BY q_at) + 3 THEN 0 ELSE 1 END AS f FROM r), y AS (SELECT *, sum(f) OVER (PARTITION BY query, target, dg ORDER BY q_at) AS run FROM x) SELECT query, target, min(q_at) AS q_s, max(q_at) + 2 AS q_e, min(t_at) AS t_s, max(t_at) + 2 AS t_e FROM y GROUP BY query, target, dg, run")
+def seed_nodes(spark, d):
+    return S.seed_nodes(S.seed_hits(names(spark, d), names(spark, d), 3), 3)
+
+
+@query("paired_hits", "WITH h AS (SELECT l_partkey % 50 AS id, l_suppkey AS target, l_orderkey % 1000 AS p FROM lineitem) SELECT a.id, a.target, a.p AS at, b.p AS mate_at, b.p - a.p AS insert FROM h a JOIN h b ON a.id = b.id AND a.target = b.target AND b.p - a.p BETWEEN 20 AND 60")
+def paired_hits(spark, d):
+    h = table(spark, d, "lineitem").select((F.col("l_partkey") % 50).alias("id"), F.col("l_suppkey").alias("target"), (F.col("l_orderkey") % 1000).alias("at"))
+    return S.paired_hits(h, h, 20, 60)
+
+
+@query("split_reads", "SELECT conv_id * 1000 + turn AS id, CAST(i - 1 AS INTEGER) AS part, a[i] AS seq FROM (SELECT conv_id, turn, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT conv_id, turn, regexp_split_to_array(text, '(?i)(?:the|eha)') AS a FROM conversations)) WHERE length(a[i]) >= 12")
+def split_reads(spark, d):
+    """Turns between the word `the`; the other strand of its letters stands in for an adapter's."""
+    return S.split_reads(turns(spark, d), "the", 12).withColumn("part", F.col("part").cast("int"))

@@ -168,3 +168,20 @@ def gexf(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edge = F.concat(F.lit('   <edge source="'), q("a"), F.lit('" target="'), q("b"), F.lit('" weight="'), q("size"), F.lit('"/>'))
     before = ['<?xml version="1.0" encoding="UTF-8"?>', '<gexf xmlns="http://gexf.net/1.3" version="1.3">', ' <graph defaultedgetype="directed">', "  <nodes>"]
     _graph(nodes.sparkSession, [(nodes, node), (edges, edge)], before, ["  </nodes>", "  <edges>"], ["  </edges>", " </graph>", "</gexf>"], path)
+
+
+def phylip(df: DataFrame, path: str) -> None:
+    """Aligned sequences (name, seq) of one length: a heading with how many and how long, then a line each. An alignment is few rows, in one file."""
+    n, length = df.agg(F.count("*"), F.max(F.char_length("seq"))).first()
+    ordered = df.orderBy("name").coalesce(1)
+    with_heading(ordered, F.concat(F.rpad("name", 10, " "), F.lit(" "), "seq"), [f"{n} {length or 0}"], path)
+
+
+def pslx(df: DataFrame, path: str) -> None:
+    """As psl, with the blocks' sequences of query and target (q_seqs, t_seqs) as two more columns."""
+    from .formats import PSL
+
+    lists = {"block_sizes", "q_starts", "t_starts"}
+    one = lambda n: F.concat(F.array_join(F.transform(n, lambda x: x.cast("string")), ","), F.lit(",")) if n in lists else (F.col(n) + 1).cast("string") if n in ("q_end", "t_end") else F.col(n).cast("string")
+    seqs = [F.concat(F.array_join(n, ","), F.lit(",")) for n in ("q_seqs", "t_seqs")]
+    text(df, F.concat_ws("\t", *[F.coalesce(one(n), F.lit("")) for n in PSL], *seqs), path)

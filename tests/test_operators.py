@@ -293,3 +293,22 @@ def test_resampled_draws_are_rows(spark):
     df = spark.createDataFrame([(i, i * 2) for i in range(30)], "id long, v long")
     out = simulate.resampled(df, ["id"], 3, 1).collect()
     assert len(out) == 90 and Counter(r["round"] for r in out) == {0: 30, 1: 30, 2: 30} and all(r["v"] == 2 * r["id"] for r in out)
+
+
+def test_chains_and_matches(spark, rng):
+    t = "".join(rng.choice("ACGT") for _ in range(300))
+    flip = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    q = t[40:80] + t[90:130]  # ten bases are missing
+    targets = spark.createDataFrame([(1, t), (2, "".join(rng.choice("ACGT") for _ in range(300)))], "id long, seq string")
+    queries = spark.createDataFrame([(7, q), (8, flip(t[200:260]))], "id long, seq string")
+    out = {r["query"]: r for r in search.local_matches(queries, targets, 8, 30, 1).collect()}
+    a, b = out[7], out[8]
+    assert (a["target"], a["strand"], a["q_s"], a["q_e"], a["t_s"], a["t_e"], a["nodes"]) == (1, "+", 0, 79, 40, 129, 2) and a["score"] == pytest.approx(79)
+    assert (b["target"], b["strand"], b["t_s"], b["t_e"], b["score"]) == (1, "-", 200, 259, 60)
+
+
+def test_unique_flanks(spark):
+    seqs = spark.createDataFrame([(1, "AACCGGTTAACCAAT"), (2, "AACCG")], "id long, seq string")
+    sites = spark.createDataFrame([(10, 1, 2), (11, 1, 6), (12, 1, 0)], "site long, id long, at long")
+    assert rows(search.flanks(sites, seqs, 2, 1), "site", "flank") == [(10, "AACC"), (11, "GGTT"), (12, None)]
+    assert rows(search.unique_flanks(sites, seqs, 2, 1), "site", "flank") == [(11, "GGTT")]
