@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, narrow, release, slices, table, texts
+from .common import lean, narrow, release, slices, spread, table, texts
 
 WINDOW, STRIDE, HIDDEN = 32, 16, 8
 WORD_ROWS, GRAM_ROWS, ODDS_ROWS, WORD_DIM, GRAM_DIM = 1 << 12, 1 << 12, 1 << 17, 4, 6
@@ -115,16 +115,24 @@ class Model:
             rows[:, -1] = self.sums(some, odds, np.add) * scale[:, 0]
         return x
 
-    def run(self, x: np.ndarray, windows: np.ndarray, keep: bool = False):
+    def parts(self, x: np.ndarray) -> list[np.ndarray]:
+        """What every input row gives to the units of both directions."""
+        return [x @ self.p[f"w{d}"] + self.p[f"b{d}"] for d in (0, 1)]
+
+    def logits(self, x: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        parts = self.parts(x)
+        return np.concatenate([self.run(x, windows[a : a + 2048], parts=parts) for a in range(0, len(windows), 2048)])
+
+    def run(self, x: np.ndarray, windows: np.ndarray, keep: bool = False, parts: list[np.ndarray] | None = None):
         """Logits of windows (rows of x; the last row: no word), and what the backward pass needs."""
+        parts = parts or self.parts(x)
         p, none = self.p, len(x) - 1
         n, t = windows.shape
         states = np.zeros((t, n, 2 * HIDDEN), dtype=np.float32)
         mask = (windows.T != none).astype(np.float32)[:, :, None]
         tape = []
         for d, steps in ((0, range(t)), (1, range(t - 1, -1, -1))):
-            part = x @ p[f"w{d}"] + p[f"b{d}"]
-            u = p[f"u{d}"]
+            part, u = parts[d], p[f"u{d}"]
             h = np.zeros((n, HIDDEN), dtype=np.float32)
             for s in steps:
                 a, b = part[windows[:, s]], h @ u
@@ -210,15 +218,27 @@ def highest(logit: np.ndarray, text: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(logit, np.flatnonzero(np.diff(text, prepend=-1))) if len(text) else logit
 
 
-def log_odds(rows: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Log odds of the document frequencies of each table row; 0 where fewer than four documents have it."""
-    pair = np.unique(doc * ODDS_ROWS + rows % ODDS_ROWS)
-    d, r = pair // ODDS_ROWS, pair % ODDS_ROWS
-    t, c = np.bincount(r[toxic[d]], minlength=ODDS_ROWS), np.bincount(r[~toxic[d]], minlength=ODDS_ROWS)
+def log_odds(parts, toxic: np.ndarray) -> np.ndarray:
+    """Log odds of the document frequencies of each table row; 0 where fewer than four documents have it.
+
+    parts: (table rows, document of each) of some whole documents at a time.
+    """
+    t, c = np.zeros(ODDS_ROWS), np.zeros(ODDS_ROWS)
+    for rows, doc in parts:
+        pair = np.unique(doc * ODDS_ROWS + rows % ODDS_ROWS)
+        d, r = pair // ODDS_ROWS, pair % ODDS_ROWS
+        t += np.bincount(r[toxic[d]], minlength=ODDS_ROWS)
+        c += np.bincount(r[~toxic[d]], minlength=ODDS_ROWS)
     odds = np.log((t + 0.5) / (toxic.sum() + 1)) - np.log((c + 0.5) / ((~toxic).sum() + 1))
     return np.where(t + c >= 4, np.clip(odds, -1, 4), 0).astype(np.float32)
 
 
+def document_parts(doc: np.ndarray, n_docs: int, at_once: int = 64) -> list[slice]:
+    """Where some documents at a time stand in ascending numbers of documents."""
+    edges = np.searchsorted(doc, [*range(0, n_docs, at_once), n_docs])
+    return [slice(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
 def train(column: pa.Array, toxic: np.ndarray, seed: int = 0) -> Model | None:
     """Fit on texts and their labels; None without both kinds."""
     toxic = toxic.astype(bool)
@@ -231,16 +251,14 @@ def train(column: pa.Array, toxic: np.ndarray, seed: int = 0) -> Model | None:
     model = fresh_model(seed)
     counts = pc.list_value_length(pc.ascii_split_whitespace(pc.fill_null(column, ""))).to_numpy(zero_copy_only=False)
     doc = np.repeat(np.arange(len(column)), counts)
-    model.word_odds = log_odds(words.word[codes], doc, toxic)
+    model.word_odds = log_odds(((words.word[codes[p]], doc[p]) for p in document_parts(doc, len(column))), toxic)
     pair = np.unique(doc * len(words.word) + codes)
-    d, c = pair // len(words.word), pair % len(words.word)
-    grams, gram_doc = [], []
-    for at in range(0, len(c), 50_000):
-        n = words.counts[c[at : at + 50_000]]
-        total = np.cumsum(n) - n
-        grams.append(np.unique(np.repeat(d[at : at + 50_000], n) * ODDS_ROWS + words.gram[np.repeat(words.starts[c[at : at + 50_000]] - total, n) + np.arange(n.sum())] % ODDS_ROWS))
-        gram_doc.append(grams[-1] // ODDS_ROWS)
-    model.gram_odds = log_odds(np.concatenate(grams) % ODDS_ROWS, np.concatenate(gram_doc), toxic)
+    doc, codes = pair // len(words.word), (pair % len(words.word)).astype(np.int32)
+    del pair
+    grams = ((words.gram[spread(words.starts[codes[p]], words.counts[codes[p]])], np.repeat(doc[p], words.counts[codes[p]])) for p in document_parts(doc, len(column)))
+    model.gram_odds = log_odds(grams, toxic)
+    del doc, codes
+    release()
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in model.p.items()}
     edges = np.flatnonzero(np.diff(text, prepend=-1))
     sizes = np.diff(np.append(edges, len(text)))
@@ -249,7 +267,7 @@ def train(column: pa.Array, toxic: np.ndarray, seed: int = 0) -> Model | None:
     for epoch in range(max(EPOCHS, -(-LEAST_STEPS // -(-each // BATCH)))):  # a small sample is seen more often
         x = model.inputs(words)
         if epoch:
-            logit = np.concatenate([model.run(x, windows[a : a + 2048]) for a in range(0, len(windows), 2048)])
+            logit = model.logits(x, windows)
         else:  # before the network knows anything: the window of highest odds
             logit = np.concatenate([x[:, -2][windows[a : a + 8192]].max(axis=1) for a in range(0, len(windows), 8192)])
         by = np.lexsort((logit, text))
@@ -293,7 +311,7 @@ def scores(model: Model | None, column: pa.Array) -> np.ndarray:
         return np.zeros(len(column))
     words, windows, text, _ = read(column)
     x = model.inputs(words)
-    logit = np.concatenate([model.run(x, windows[a : a + 2048]) for a in range(0, len(windows), 2048)])
+    logit = model.logits(x, windows)
     return 1 / (1 + np.exp(-highest(logit, text).astype(np.float64)))
 
 
