@@ -127,7 +127,9 @@ def pg_snp(df: DataFrame, path: str) -> None:
 
 def count_matrix(df: DataFrame, rows: str, columns: str, value: str, names: list[str], path: str) -> None:
     """A wide table with tabs of the sums of value: rows by columns, whose names are given; only rows that have all of them."""
-    wide = df.groupBy(rows).pivot(columns, names).agg(F.sum(value)).dropna(subset=names)
+    wide = df.groupBy(rows).pivot(columns, names).agg(F.sum(value))
+    for n in names:
+        wide = wide.filter(F.col(f"`{n}`").isNotNull())
     with_heading(wide, F.concat_ws("\t", F.col(rows).cast("string"), *[F.col(f"`{n}`").cast("string") for n in names]), ["\t".join([rows, *names])], path)
 
 
