@@ -32,7 +32,7 @@ from .common import lean, narrow, parts, slices, table, written
 from .token_files import NO_ID, in_order
 from .tokens import SLICE, default_tokenizer, encoder
 
-WINDOW, STRIDE, SENTENCE_COST, BREAK_COST, STRETCH = 4096, 64, 2, 24, 2 << 20
+WINDOW, STRIDE, SENTENCE_COST, BREAK_COST, STRETCH = 4096, 64, 2, 24, 1 << 20
 PIECES = "range int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, local long, offset long"
 
 

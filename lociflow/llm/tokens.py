@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ ODD = re.compile(r"[^\t\n\r -~¡-¬®-\u0239\u023b-\u023d\u023f-ʯ]")
 #: Pre-tokens that a worker remembers; beyond it starts anew.
 CACHE = 500_000
 ASCII_SPACE = re.compile(r"[ \t-\r]+")
-#: Bytes of text encoded at once.
-SLICE = 6 << 20
+#: Bytes of text encoded at once: its pre-tokens are so many strings of a worker.
+SLICE = 2 << 20
 
 _encoders: dict[str, "ChunkEncoder"] = {}
 
@@ -70,12 +71,9 @@ class ChunkEncoder:
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        # The same model for pre-tokens that are already lower case and split.
-        self.words = Tokenizer.from_file(path)
-        self.words.no_truncation()
-        self.words.no_padding()
-        self.words.normalizer = normalizers.Sequence([])
-        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # The file's own steps, and those for pre-tokens that are already lower case and split: one model serves both.
+        self.own = self.whole.normalizer, self.whole.pre_tokenizer
+        self.bare = normalizers.Sequence([]), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.forget()
 
     def forget(self) -> None:
@@ -84,17 +82,27 @@ class ChunkEncoder:
         self.codes["\0"] = 0
         self.lengths, self.starts, self.pool = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
+    @contextmanager
+    def steps(self, steps: tuple):
+        """Within it, the library normalises and splits by these steps."""
+        self.whole.normalizer, self.whole.pre_tokenizer = steps
+        try:
+            yield
+        finally:
+            self.whole.normalizer, self.whole.pre_tokenizer = self.own
+
     def encode_pretokens(self, words: list[str]) -> list[bytes]:
         """Ids of each pre-token as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        tokenize, pack = self.words.model.tokenize, struct.pack
+        tokenize, pack = self.whole.model.tokenize, struct.pack
         for at in range(0, len(words), 1000):
             part = words[at : at + 1000]
             if all(map(str.isascii, part)):
                 # Printable ASCII stands for itself in the byte-level alphabet.
                 out += [pack(f"<{len(x)}I", *[t.id for t in x]) for x in map(tokenize, part)]
                 continue
-            e = self.words.encode(part, is_pretokenized=True, add_special_tokens=False)
+            with self.steps(self.bare):
+                e = self.whole.encode(part, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(e.ids, dtype="<u4")
             counts = np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(part)) if len(ids) else np.zeros(len(part), np.int64)
             ends = (np.cumsum(counts) * 4).tolist()
