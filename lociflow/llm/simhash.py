@@ -45,6 +45,8 @@ BANDS, BAND_ROWS = 32, 4
 TIMES, PLUS = (np.array([[xxhash.xxh64_intdigest(b"%d" % i, seed) | 1] for i in range(BANDS * BAND_ROWS)], dtype=np.uint64) for seed in (1, 2))
 #: Texts of a key that are compared with all others there, in the first round; so many times more in each later one, up to MOST_LEADERS.
 LEADERS, MORE, MOST_LEADERS = 1, 64, 4096
+#: Most numbers that are broadcast: 8 MB of them.
+SMALL = 1_000_000
 #: 64-bit words of a set's parity map.
 MAP = [f"m{i}" for i in range(16)]
 MARKS = "doc_id long, fp long, c long, n long, bands array<long>, " + ", ".join(f"{m} long" for m in MAP)
@@ -322,6 +324,11 @@ def relabelled(df: DataFrame, column: str, found: DataFrame) -> DataFrame:
     return df.join(to, F.col(column) == F.col("_node"), "left").withColumn(column, F.coalesce("_to", column)).drop("_node", "_to")
 
 
+def if_small(keys: DataFrame) -> DataFrame:
+    """A written table of one column of numbers, broadcast if it has no more than SMALL rows; else it is shuffled."""
+    return F.broadcast(keys) if keys.count() <= SMALL else keys
+
+
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, group) of every document: near copies of at least that similarity share the smallest doc_id.
 
@@ -333,29 +340,31 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     marks = written(signatures(docs, words), "signatures")
     known = F.coalesce("doc_id", F.lit(NO_DOC))
     named = written(named_fingerprints(marks.select("doc_id", "fp")), "tight")
-    least = [F.min(x).alias(x) for x in ("n", *MAP)]  # the same in all texts of a class
-    texts = marks.filter("c is not null").groupBy("fp", "c").agg(F.min(known).alias("doc"), F.min("bands").alias("bands"), *least)
-    texts = written(texts.join(named, "fp").drop("fp"), "texts")
-    classes = written(texts.groupBy("c").agg(F.min("component").alias("node"), F.min("doc").alias("doc"), F.min("bands").alias("bands"), *least), "text_classes")
+    some = marks.filter("c is not null")
+    texts = written(some.groupBy("fp", "c").agg(F.min(known).alias("doc")).join(named, "fp").drop("fp"), "texts")
+    wide = some.groupBy("c").agg(*[F.min(x).alias(x) for x in ("n", "bands", *MAP)])  # the same in all texts of a class
+    classes = written(texts.groupBy("c").agg(F.min("component").alias("node"), F.min("doc").alias("doc")).join(wide, "c"), "text_classes")
     good = texts.join(classes.select("c", "node"), "c").filter("component <> node").select(F.col("component").alias("a"), F.col("node").alias("b"))
     met = written(meetings(classes), "meetings")
-    asked = classes.join(met.select("c").distinct(), "c", "left_semi").select(F.col("doc").alias("doc_id")).distinct()
-    base = narrow(docs).select(known.alias("doc_id"), "text").join(asked, "doc_id", "left_semi")
+    asked = written(classes.join(met.select("c").distinct(), "c", "left_semi").select(F.col("doc").alias("doc_id")).distinct(), "asked")
+    base = narrow(docs).select(known.alias("doc_id"), "text").join(if_small(asked), "doc_id", "left_semi")
     sets = written(shingle_sets(base, words).groupBy("c").agg(F.min("s").alias("s")), "shingles")
     leaders, links_found = LEADERS, [written(good, "alike")]
     while not met.isEmpty():
         lead = written(led(met, leaders), "leaders")
         pairs = written(candidates(met, lead, similarity), "pairs")
-        put = pairs.join(sets.select(F.col("c").alias("ca"), F.col("s").alias("sa")), "ca").join(sets.select(F.col("c").alias("cb"), F.col("s").alias("sb")), "cb")
+        members = written(pairs.select(F.col("ca").alias("c")).union(pairs.select("cb")).distinct(), "members")
+        theirs = written(sets.join(if_small(members), "c", "left_semi"), "compared")
+        put = pairs.join(theirs.select(F.col("c").alias("ca"), F.col("s").alias("sa")), "ca").join(theirs.select(F.col("c").alias("cb"), F.col("s").alias("sb")), "cb")
         found = written(alike(put.select("a", "b", "sa", "sb"), similarity).distinct(), "alike")
         links_found.append(found)
         left = met.join(lead.select(F.col("l_key").alias("key"), F.col("l_c").alias("c")), ["key", "c"], "left_anti")
         if not found.isEmpty():
             left = relabelled(left, "node", connected_components(found))
         before, met = met, written(shared(left.select(met.columns)), "meetings")
-        discard(before, lead, pairs)
+        discard(before, lead, pairs, members, theirs)
         leaders = min(leaders * MORE, MOST_LEADERS)
-    discard(met, sets, classes, texts)
+    discard(met, sets, classes, texts, asked)
     good = reduce(DataFrame.unionByName, links_found)
     return marks.join(relabelled(named, "component", connected_components(good)), "fp").select(known.alias("doc_id"), F.col("component").alias("group"))
 
