@@ -76,18 +76,22 @@ def overlap_join(left: DataFrame, right: DataFrame, flank: int = 0) -> DataFrame
     r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn("rs", F.col("r_s") - flank).withColumn("re", F.col("r_e") + flank)
     here, there = levels_of(left, F.col("s"), F.col("e")), levels_of(r, F.col("rs"), F.col("re"))
 
-    def bins(s: Column, e: Column, own: set[int], other: set[int]) -> Column:
-        """(level, bin, first, is own) of an interval at its own level and at wider ones of the other side."""
-        level = _level(s, e)
-        at = F.array(*[F.when((level == b) if b not in other else (level <= b), F.struct(F.lit(b).alias("level"), F.shiftright(s, b).alias("first"), F.shiftright(e, b).alias("last"), (level == b).alias("own"))) for b in sorted(own | other)])
-        each = F.transform(F.filter(at, lambda x: x.isNotNull()), lambda x: F.transform(F.sequence(x["first"], x["last"]), lambda b: F.struct(x["level"].alias("level"), b.alias("bin"), x["first"].alias("first"), x["own"].alias("own"))))
-        return F.flatten(each)
-
-    l = left.select("*", F.explode(bins(F.col("s"), F.col("e"), here, there)).alias("_l")).withColumns({"_level": F.col("_l.level"), "_bin": F.col("_l.bin")})
-    r = r.select("*", F.explode(bins(F.col("rs"), F.col("re"), there, here)).alias("_r")).withColumns({"_r_level": F.col("_r.level"), "_r_bin": F.col("_r.bin")})
-    meet = (F.col("chrom") == F.col("r_chrom")) & (F.col("_level") == F.col("_r_level")) & (F.col("_bin") == F.col("_r_bin")) & (F.col("_l.own") | F.col("_r.own"))
-    hit = meet & (F.col("s") <= F.col("re")) & (F.col("e") >= F.col("rs")) & (F.col("_bin") == F.greatest("_l.first", "_r.first"))
-    return l.join(r, hit).drop("_l", "_r", "_level", "_bin", "_r_level", "_r_bin", "rs", "re")
+    def dealt(df: DataFrame, s: str, e: str, own: set[int], other: set[int], to: str) -> DataFrame:
+        """df with its intervals' own level, and a row for each level and bin that they are dealt to, with the first bin there."""
+        every = sorted(own | other)
+        at = [F.when((F.col(f"{to}own") <= b) if b in other else (F.col(f"{to}own") == b), b) for b in every]
+        df = df.withColumn(f"{to}own", _level(F.col(s), F.col(e)))
+        df = df.withColumn(f"{to}level", F.lit(every[0]) if len(every) == 1 else F.explode(F.array_compact(F.array(*at))))
+        df = df.withColumn(f"{to}first", F.expr(f"shiftright({s}, {to}level)"))
+        return df.withColumn(f"{to}bin", F.explode(F.sequence(f"{to}first", F.expr(f"shiftright({e}, {to}level)"))))
+
+    if not here or not there:  # nothing meets nothing
+        here, there = here or {LEVELS[0]}, there or {LEVELS[0]}
+    l, r = dealt(left, "s", "e", here, there, "_l"), dealt(r, "rs", "re", there, here, "_r")
+    meet = (F.col("chrom") == F.col("r_chrom")) & (F.col("_llevel") == F.col("_rlevel")) & (F.col("_lbin") == F.col("_rbin"))
+    own = (F.col("_llevel") == F.col("_lown")) | (F.col("_rlevel") == F.col("_rown"))
+    hit = meet & own & (F.col("s") <= F.col("re")) & (F.col("e") >= F.col("rs")) & (F.col("_lbin") == F.greatest("_lfirst", "_rfirst"))
+    return l.join(r, hit).drop("rs", "re", *[f"_{x}{n}" for x in "lr" for n in ("own", "level", "first", "bin")])
 
 
 def overlap_any(left: DataFrame, right: DataFrame, anti: bool = False, width: int = WIDTH) -> DataFrame:
