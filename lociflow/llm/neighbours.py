@@ -88,11 +88,14 @@ def usable(vectors: DataFrame) -> DataFrame:
     # In two steps, as the power itself may be out of reach.
     v = v.withColumn("e", F.floor(F.log2(F.array_max(F.transform("v", F.abs)))).cast("int"))
     step = [F.pow(F.lit(2.0), -x) for x in (F.expr("e div 2").cast("double"), F.expr("e - e div 2").cast("double"))]
-    return v.select("vec_id", F.transform("v", lambda x: x * step[0] * step[1]).alias("v"), F.size("v").alias("space"))
+    scaled = F.transform("v", lambda x: x * step[0] * step[1])
+    # Floats stay floats: what a power of two makes too small for one is nothing beside the largest component.
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    return v.select("vec_id", scaled.cast(kind if kind == "array<float>" else "array<double>").alias("v"), F.size("v").alias("space"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def nearest(vectors: DataFrame, is_query, k: int) -> DataFrame:
