@@ -92,7 +92,8 @@ def start_profile(spark, d):
     at = loci(spark, d).groupBy("chrom", "s").agg(F.count("*").alias("k"))
     of = features(spark, d).groupBy("chrom", "s", "cls").agg(F.count("*").alias("m"))
     of = of.select("chrom", "cls", "m", F.col("s").alias("f"), F.explode(F.sequence(F.lit(-5).cast("bigint"), F.lit(5).cast("bigint"))).alias("rel")).withColumn("s", F.col("f") + F.col("rel"))
-    return of.join(at, ["chrom", "s"]).groupBy("cls", "rel").agg(F.sum(F.col("m") * F.col("k")).alias("n"))
+    # The size that is guessed for `of` is that of the files, before rows are dealt out: never gathered in the driver.
+    return of.hint("merge").join(at, ["chrom", "s"]).groupBy("cls", "rel").agg(F.sum(F.col("m") * F.col("k")).alias("n"))
 
 
 @query(

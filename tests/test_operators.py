@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from lociflow import catalog
 from lociflow.functions import genes as G, sequence as Q
 from lociflow.operators import assembly, expression, genes, haplotypes, intervals, ontology, reads, scans, search, series, simulate, tables
 
@@ -312,3 +313,9 @@ def test_unique_flanks(spark):
     sites = spark.createDataFrame([(10, 1, 2), (11, 1, 6), (12, 1, 0)], "site long, id long, at long")
     assert rows(search.flanks(sites, seqs, 2, 1), "site", "flank") == [(10, "AACC"), (11, "GGTT"), (12, None)]
     assert rows(search.unique_flanks(sites, seqs, 2, 1), "site", "flank") == [(11, "GGTT")]
+
+
+def test_start_profile_gathers_nothing_in_the_driver(spark):
+    d = catalog.queries()["start_profile"](spark, "/root/testdata/sf0.001")
+    d.collect()
+    assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
