@@ -331,7 +331,7 @@ def enrich(spark: SparkSession, hits: str, obo: str, gaf: str, out: str, correct
     edges = terms.select(F.col("id").alias("child"), F.explode("is_a").alias("parent"))
     a = formats.gaf(spark, gaf).filter(~F.coalesce(F.col("qualifier").contains("NOT"), F.lit(False))).select(F.lower("symbol").alias("gene"), F.col("go_id").alias("term"))
     sample = ontology.weight_reduced(tabular.hits(spark, hits))
-    e = ontology.enrichment(ontology.genes_per_term(a, edges), sample).withColumn("id", F.xxhash64("term"))
+    e = ontology.enriched(a, edges, sample).withColumn("id", F.xxhash64("term"))
     adj = tables.corrected(e.select("id", F.col("fisher_p").alias("p")), correction).select("id", "adj")
     put(e.join(adj, "id").join(terms.select(F.col("id").alias("term"), "name"), "term", "left").drop("id"), out)
 

@@ -379,6 +379,15 @@ def test_gene_counts_shuffle_sets_and_not_pairs(spark):
     assert n < pairs
 
 
+def test_enrichment_shuffles_sets_and_not_pairs(spark):
+    e = halves_and_thirds(spark, 1000)
+    a = spark.range(60_000).select((F.col("id") % 600).alias("gene"), (F.col("id") * 7 % 999 + 1).alias("term"))
+    pairs = ontology.genes_per_term(a, e).count()
+    d, n = shuffled(spark, lambda: catalog_like("term_enrichment", spark, a, e))
+    assert sum(r["n1"] for r in d) == pairs
+    assert n < pairs
+
+
 def catalog_like(name, spark, a, e):
     """Rows of a query over these annotations and edges."""
     from lociflow.plans import expression_queries as Q
@@ -397,3 +406,6 @@ def test_gene_sets_against_brute_force(spark, rng):
     per = {(t, g) for g, t in direct} | {(t, g) for g, u in direct for t in above.get(u, ())}
     assert rows(ontology.genes_per_term(a, e), "term", "gene") == sorted(per, key=repr)
     assert rows(ontology.gene_counts(a, e), "term", "genes") == sorted(Counter(t for t, _ in per).items(), key=repr)
+    sample = spark.createDataFrame([(f"g{i}",) for i in range(0, 2000, 9)], "gene string")
+    assert rows(ontology.enriched(a, e, sample)) == rows(ontology.enrichment(ontology.genes_per_term(a, e), sample))
+
